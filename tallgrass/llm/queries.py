@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
-from .common import small_batches, table
+from . import bpe, exact_dedup, sharding, token_rollup, url_filter
+from .common import cut, shared_dir, small_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -22,11 +25,82 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(trips)
 
 
+#: The rules of the contract, as verdict, host and start of the path.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every url of `pages` by the rules, else by its host's place in the link graph."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts over all rows of `documents`."""
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest_all=True)
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` in 40 shards of near equal bytes."""
+    return sharding.shards(table(spark, sf_dir, "documents"), 40)
+
+
+def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all `documents` under two tokenizer versions after three batches of changes.
+
+    Inserts of every document; revised counts for texts with runs of white space, which
+    are collapsed; deletions of texts without a letter.  The second batch is sent twice.
+    """
+    small_batches(spark)
+    text, vocabulary = F.coalesce("text", F.lit("")), public_tokenizers.path(VOCABULARY)
+    collapsed = F.regexp_replace(text, r"\s+", " ")
+    counts = cut(
+        table(spark, sf_dir, "documents").select(
+            "doc_id",
+            "source",
+            "lang",
+            bpe.count(F.col("text"), vocabulary, public_tokenizers.PATTERN).alias("bpe"),
+            F.when(
+                collapsed != text, bpe.count(collapsed, vocabulary, public_tokenizers.PATTERN)
+            ).alias("bpe_revised"),
+            F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("words"),
+            (~text.rlike(r"\p{L}")).alias("gone"),
+        )
+    )
+
+    def rows(bpe_tokens, where=None):
+        found = counts.where(where) if where is not None else counts
+        versions = F.array(
+            F.struct(F.lit("byte_bpe_50k").alias("version"), bpe_tokens.alias("tokens")),
+            F.struct(F.lit("words").alias("version"), F.col("words").alias("tokens")),
+        )
+        return found.select("doc_id", "source", "lang", F.inline(versions))
+
+    store = token_rollup.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    store.commit("1-load", token_rollup.changes("insert", rows(F.col("bpe"))))
+    revised = token_rollup.changes("revise", rows(F.col("bpe_revised"), F.col("bpe_revised").isNotNull()))
+    store.commit("2-collapse", revised)
+    store.commit("2-collapse", revised)
+    store.commit("3-no-letter", token_rollup.changes("delete", rows(F.col("bpe"), F.col("gone"))))
+    return store.totals()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op3_url_filter": op3_url_filter,
+        "op4_exact_dedup": op4_exact_dedup,
+        "op5_sharding": op5_sharding,
+        "op10_token_rollup": op10_token_rollup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_exact_dedup": exact_dedup.ORACLE_SQL,
+    }
