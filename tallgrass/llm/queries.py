@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, sharding, token_rollup, url_filter
+from . import bpe, exact_dedup, language_id, sharding, token_rollup, url_filter
 from .common import cut, shared_dir, small_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -50,6 +50,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), 40)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text of `documents`."""
+    small_batches(spark)
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of all `documents` under two tokenizer versions after three batches of changes.
 
@@ -96,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filter": op3_url_filter,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_sharding": op5_sharding,
+        "op6_language_id": op6_language_id,
         "op10_token_rollup": op10_token_rollup,
     }
 
