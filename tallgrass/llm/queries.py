@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, sharding, token_rollup, url_filter
+from . import bpe, exact_dedup, language_id, near_dedup, sharding, token_rollup, url_filter
 from .common import cut, shared_dir, small_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -25,6 +25,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(trips)
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-duplicates over all rows of `documents`."""
+    small_batches(spark)
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 #: The rules of the contract, as verdict, host and start of the path.
 URL_RULES = [
     ("allow", "com", "/"),
@@ -99,6 +105,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_near_dedup": op2_near_dedup,
         "op3_url_filter": op3_url_filter,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_sharding": op5_sharding,
