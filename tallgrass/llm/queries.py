@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, near_dedup, sharding, token_rollup, url_filter
+from . import bpe, decontamination, exact_dedup, html_text, language_id, near_dedup, sharding, token_rollup, url_filter
 from .common import cut, shared_dir, small_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -62,6 +62,18 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each of `documents` holds; documents without one have no row."""
+    small_batches(spark)
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page of `pages`."""
+    small_batches(spark)
+    return html_text.main_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of all `documents` under two tokenizer versions after three batches of changes.
 
@@ -110,6 +122,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_sharding": op5_sharding,
         "op6_language_id": op6_language_id,
+        "op8_decontamination": op8_decontamination,
+        "op9_html_text": op9_html_text,
         "op10_token_rollup": op10_token_rollup,
     }
 
