@@ -65,3 +65,20 @@ def drop(df: DataFrame) -> None:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+#: Ids that may be told to a scan by broadcast; 8 bytes each.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `docs`, with their columns, whose doc_id is not in gone(doc_id); null doc_ids stay."""
+    ids = cut(gone.select("doc_id").distinct())
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)  # else Spark joins by exchange
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def not_kept(decisions: DataFrame) -> DataFrame:
+    """doc_id of decisions(doc_id, kept) of which no row is kept."""
+    return decisions.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")).select("doc_id")

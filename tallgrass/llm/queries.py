@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, html_text, language_id, near_dedup, sharding, token_rollup, url_filter
+from . import bpe, decontamination, exact_dedup, html_text, language_id, near_dedup, sharding, suffix_dedup, token_rollup, url_filter
 from .common import cut, shared_dir, small_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -62,6 +62,20 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text of `documents` without repeated strings of 200 bytes."""
+    small_batches(spark)
+    found = suffix_dedup.repeats(table(spark, sf_dir, "documents"), suffix_dedup.LENGTH)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that each of `documents` holds; documents without one have no row."""
     small_batches(spark)
@@ -122,6 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_sharding": op5_sharding,
         "op6_language_id": op6_language_id,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_decontamination": op8_decontamination,
         "op9_html_text": op9_html_text,
         "op10_token_rollup": op10_token_rollup,
