@@ -16,7 +16,9 @@ Large groups.  Equal texts are one node.  In a bucket of equal sketches each tex
 held against one leader (the least of the bucket), then, if classes are still apart,
 against another (the greatest).  What is then still in another class than the bucket's
 largest is held against every member of another class, so no link between texts of
-different classes is missed, while a bucket that is one class costs its size only.
+different classes is missed, while a bucket that is one class costs its size only.  These
+pairs are first held against a bound from the texts' parity bits, within the join; only
+pairs that pass it are made and aligned.
 
 Cases: texts without a letter or digit are equal only to the same text (null equals the
 empty text); very long texts are aligned whole; the class id is the least doc_id of the
@@ -31,7 +33,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +43,8 @@ from .components import components
 WORDS = 5
 SKETCHES = 12
 TAKE = 3
+#: Parity bits of a text's shingles, by which most pairs are told apart without their texts.
+BITS = 1_024
 #: Similarity 0.8 = 4/5: M / (n + m - M) >= 4/5 is 9 M >= 4 (n + m).
 UP, DOWN = 4, 5
 #: Candidates whose texts may be told to a scan by broadcast; about 60 bytes each.
@@ -87,22 +91,46 @@ def occurrences(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(norm: str) -> list[int]:
-    """SKETCHES signed 64-bit sketches; none for a text without words."""
+_SEEDS = np.array([(slot + 1) * 0xA0761D6478BD642F & (1 << 64) - 1 for slot in range(SKETCHES)], np.uint64)[:, None]
+
+
+def signature(norm: str) -> tuple[int, list[int], list[int]]:
+    """Number of shingles, their parity bits as 64-bit words, and SKETCHES sketches; signed.
+
+    Nothing but 0 and empty lists for a text without words.
+    """
     found = shingles(norm)
     if not len(found):
-        return []
-    out = []
+        return 0, [], []
     with np.errstate(over="ignore"):
         labelled = found + occurrences(found) * np.uint64(0xD6E8FEB86659FD93)
-        for slot in range(SKETCHES):
-            mixed = _mix(labelled ^ np.uint64((slot + 1) * 0xA0761D6478BD642F & (1 << 64) - 1))
-            least = np.argpartition(mixed, TAKE - 1)[:TAKE] if len(mixed) > TAKE else np.arange(len(mixed))
-            total = np.zeros(1, np.uint64)
-            for h in found[np.sort(least)]:
-                total = _mix(total * _BASE + h)
-            out.append(int(total.view(np.int64)[0]))
-    return out
+        if len(found) * SKETCHES <= 1 << 20:
+            least = _least(_mix(labelled[None, :] ^ _SEEDS))
+        else:
+            least = np.concatenate([_least(_mix(labelled[None, :] ^ seed[None, :])) for seed in _SEEDS])
+        total = np.zeros(SKETCHES, np.uint64)
+        for h in found[np.sort(least, axis=1)].T:
+            total = _mix(total * _BASE + h)
+        odd = np.bincount((_mix(labelled) >> np.uint64(20)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
+    bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return len(found), bits.tolist(), total.view(np.int64).tolist()
+
+
+def _least(mixed: np.ndarray) -> np.ndarray:
+    """Places of the TAKE least of each row."""
+    if mixed.shape[1] <= TAKE:
+        return np.broadcast_to(np.arange(mixed.shape[1]), mixed.shape)
+    return np.argpartition(mixed, TAKE - 1, axis=1)[:, :TAKE]
+
+
+def may_be_similar(n: Column, bits: Column, m: Column, other: Column) -> Column:
+    """False only for pairs that can't be similar.
+
+    Aligned shingles are at most the lesser number, and at most (n + m - unlike bits) / 2,
+    since each shingle that is in one text only turns one parity bit.
+    """
+    unlike = sum((F.bit_count(F.get(bits, i).bitwiseXOR(F.get(other, i))) for i in range(BITS // 64)), F.lit(0))
+    return (F.least(n, m) * (UP + DOWN) >= (n + m) * UP) & (unlike * (UP + DOWN) <= n + m)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, need: int) -> int:
@@ -164,9 +192,14 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return aligned(a, b, need) >= need
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def _sketched(norms: pa.Array) -> pa.Array:
-    return pa.array([sketches(x.as_py() or "") for x in norms], pa.list_(pa.int64()))
+_LONGS = T.ArrayType(T.LongType())
+
+
+@F.arrow_udf(T.StructType().add("n", T.LongType()).add("bits", _LONGS).add("sketches", _LONGS))
+def _signed(norms: pa.Array) -> pa.Array:
+    n, bits, sketches = zip(*[signature(x.as_py() or "") for x in norms]) if len(norms) else ([], [], [])
+    longs = pa.list_(pa.int64())
+    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(bits, longs), pa.array(sketches, longs)], ["n", "bits", "sketches"])
 
 
 @F.arrow_udf(T.BooleanType())
@@ -185,17 +218,14 @@ def _verified(firsts: pa.Array, seconds: pa.Array) -> pa.Array:
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, class_size, kept: one row for each row of `docs`."""
-    norm = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("raw"), words_of().alias("norm"))
-    key = F.substring(F.unhex(F.sha2(F.when(F.col("norm") != "", F.col("norm")).otherwise(F.concat(F.lit("\0"), "raw")), 256)), 1, 16)
-    texts = norm.select("doc_id", key.alias("key"), "norm")
-    rows = cut(texts.select("doc_id", "key", _sketched("norm").alias("sketches")))
-    nodes = cut(
-        rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sketches").alias("sketches"))
-    )
+    texts = _keyed(docs)
+    rows = cut(texts.select("doc_id", "key", _signed("norm").alias("x")).select("doc_id", "key", "x.*"))
+    same = [F.first(c).alias(c) for c in ("n", "bits", "sketches")]  # alike in all rows of a key
+    nodes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *same))
     buckets = nodes.select("key", F.posexplode("sketches").alias("slot", "sketch"))
     shared = cut(buckets.groupBy("slot", "sketch").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("slot", "sketch"))
     members = cut(buckets.join(shared, ["slot", "sketch"]))
-    links = _links(texts, nodes, rows, members)
+    links = _links(docs, nodes, rows, members)
     found = cut(components(links))
     of_key = nodes.join(found.withColumnRenamed("node", "key"), "key", "left").select(
         "key", F.coalesce("root", "key").alias("root"), "rep", "copies"
@@ -209,10 +239,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def _links(texts: DataFrame, nodes: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
     """a, b: verified links that connect every class of the candidates' graph."""
     bucket = ["slot", "sketch"]
-    held = cut(_texts(texts, nodes, rows, members.select("key").distinct()))
+    held = cut(_texts(docs, nodes, rows, members.select("key").distinct()))
     links = tried = None
     for turn in ("least", "greatest", "all"):
         if links is None:
@@ -233,7 +263,14 @@ def _links(texts: DataFrame, nodes: DataFrame, rows: DataFrame, members: DataFra
             first = F.min("key") if turn == "least" else F.max("key")
             lead = apart.join(cut(apart.groupBy(*bucket).agg(first.alias("key"))), [*bucket, "key"])
         lead = cut(lead.select(*bucket, F.col("key").alias("lead"), F.col("root").alias("other")))
-        pairs = apart.join(lead, bucket).where("root <> other")
+        if turn == "least":
+            pairs = apart.join(lead, bucket).where("root <> other").select("key", "lead")
+        else:
+            signed = nodes.select("key", "n", "bits")
+            own = cut(apart.join(signed, "key"))
+            lead = cut(lead.join(signed.toDF("lead", "m", "lead_bits"), "lead"))
+            near = may_be_similar(F.col("n"), F.col("bits"), F.col("m"), F.col("lead_bits"))
+            pairs = own.join(lead, bucket).where((F.col("root") != F.col("other")) & near).select("key", "lead")
         if turn == "least":  # of a text's leaders the one with which it shares most sketches
             pairs = pairs.groupBy("key", "lead").agg(F.count(F.lit(1)).alias("n"))
             pairs = pairs.groupBy("key").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
@@ -263,9 +300,17 @@ def _bounded(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS else keys
 
 
-def _texts(texts: DataFrame, nodes: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, key, norm: the words of each text, and a hash of them (of the text itself if it has none)."""
+    norm = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("raw"), words_of().alias("norm"))
+    told = F.when(F.col("norm") != "", F.col("norm")).otherwise(F.concat(F.lit("\0"), "raw"))
+    return norm.select("doc_id", F.substring(F.unhex(F.sha2(told, 256)), 1, 16).alias("key"), "norm")
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """key, norm of the wanted keys, from one document of each."""
     reps = cut(wanted.join(nodes.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id")))
-    found = texts.join(_bounded(reps), ["doc_id", "key"], "left_semi").select("key", "norm")
+    few = docs.select("doc_id", "text").join(_bounded(reps.select("doc_id").distinct()), "doc_id", "left_semi")
+    found = _keyed(few).join(_bounded(reps), ["doc_id", "key"], "left_semi").select("key", "norm")
     repeated = rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return found if repeated.isEmpty() else found.dropDuplicates(["key"])
