@@ -12,7 +12,8 @@ consistently: each value that fills slots in the item has one value in the docum
 question with other numbers or names is caught, while text that only looks alike is not.
 A document holds an item if consistent diagonals cover 0.8 or more of the item's windows.
 
-Items are indexed in two forms, with names as slots and with names as words, since texts in
+A text need not be cut into windows if it has none of a few words without which no item can
+be covered; that test is exact.  Items are indexed in two forms, with names as slots and with names as words, since texts in
 capitals show no names.  Items of fewer than five tokens are one window of all of them.
 
 Cases: null or empty texts and items match nothing; very long texts are read whole; an item
@@ -46,7 +47,11 @@ UNITS = frozenset(
     " litre litres mile miles foot feet inch inches pound pounds ounce ounces dollar dollars euro euros cent cents percent % $ € £".split()
 )
 _SYMBOLS = "%$€£"
-_TOKENS = re.compile(rf"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]|[{_SYMBOLS}]").findall
+_TOKENS = re.compile(rf"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n{_SYMBOLS}]").findall
+#: The same for texts of the first Unicode blocks only, whose letters and digits are named one by one.
+_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_LATIN_TOKENS = re.compile(rf"[{_LETTERS}\xb2\xb3\xb9\xbc-\xbe]+|[0-9]+(?:[.,][0-9]+)*|[.!?\n{_SYMBOLS}]").findall
+_BEYOND_LATIN = re.compile(f"[^\0-\u024f{_SYMBOLS}]").search
 #: Classes of raw tokens, held in the low bits of their hashes.
 _END, _NUMBER, _SYMBOL, _WORD, _UNIT, _CAPITAL, _CAPITAL_UNIT = range(7)
 _LOW = np.uint64(7)
@@ -103,7 +108,7 @@ def template(text: str, names: bool = True) -> Template:
     """The typed tokens of a text; with names=False names stay words."""
     if len(_hashes) > MEMO_TOKENS:
         _hashes.clear()
-    raw = _TOKENS(text)
+    raw = (_TOKENS if _BEYOND_LATIN(text) else _LATIN_TOKENS)(text)
     coded = np.fromiter(map(_hashes.__getitem__, raw), np.uint64, len(raw))
     at = np.arange(len(raw))
     kind = (coded & _LOW).astype(np.int8)
@@ -128,20 +133,64 @@ def template(text: str, names: bool = True) -> Template:
     return Template(raw, hashes[starts], at[starts], last[starts])
 
 
-def windows(tokens: Template) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes as signed 64-bit, their places, and the tokens in a window."""
+def _in_word(text: str, i: int) -> bool:
+    """Whether there is a letter, as the token pattern has it, at place i."""
+    return 0 <= i < len(text) and text[i].isalnum() and not text[i].isdecimal()
+
+
+class Known:
+    """Hashes of the benchmark's windows, and words of which a text that holds an item must have one.
+
+    Most other hashes fail a bit table before they are looked up; most texts have no such word.
+    """
+
+    def __init__(self, hashes: np.ndarray, words: list[str]):
+        self.hashes, self.words, self._found = hashes, words, None
+        size = 1 << max(16, (16 * len(hashes)).bit_length())
+        self.mask = np.uint64(size - 1)
+        self.table = np.zeros(size, bool)
+        self.table[self._cell(hashes.view(np.uint64))] = True
+
+    def _cell(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(32)) & self.mask).astype(np.int64)
+
+    def may_hold(self, text: str) -> bool:
+        """False only for texts that hold no item."""
+        if self._found is None:
+            import ahocorasick
+
+            self._found = ahocorasick.Automaton()
+            for word in self.words:
+                self._found.add_word(word, len(word))
+            self._found.make_automaton()
+        if not self.words:
+            return False
+        low = text.lower()
+        return any(not _in_word(low, end + 1) and not _in_word(low, end - size) for end, size in self._found.iter(low))
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of unsigned hashes that are known."""
+        (at,) = np.nonzero(self.table[self._cell(hashes)])
+        own = hashes[at].view(np.int64)
+        near = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        return at[self.hashes[near] == own]
+
+
+def windows(tokens: Template, known: Known | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes as signed 64-bit, their places, and the tokens in a window; with `known` those that are."""
     size = min(WINDOW, len(tokens.hashes))
     if not size:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     hashes = tokens.hashes
-    word = hashes > np.uint64(max(_SLOTS.values()))
     n = len(hashes) - size + 1
-    total, telling = np.full(n, size, np.uint64), np.zeros(n, bool)
     with np.errstate(over="ignore"):
-        for k in range(size):
-            total = (total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + hashes[k : k + n]
-            telling |= word[k : k + n]
-    (at,) = np.nonzero(telling)
+        total = hashes[:n] + np.uint64(size)
+        for k in range(1, size):
+            total *= np.uint64(0xBF58476D1CE4E5B9)
+            total += hashes[k : k + n]
+    at = np.arange(n) if known is None else known.places(total)
+    word = hashes > np.uint64(max(_SLOTS.values()))
+    at = at[word[at[:, None] + np.arange(size)].any(axis=1)]
     return total[at].view(np.int64), at, size
 
 
@@ -151,18 +200,36 @@ _FOUND_ARROW = pa.list_(
 )
 
 
-def _told(tokens: Template, only: np.ndarray | None = None) -> list[dict]:
-    hashes, at, size = windows(tokens)
-    if only is not None and len(hashes):
-        near = np.minimum(np.searchsorted(only, hashes), len(only) - 1)
-        kept = only[near] == hashes
-        hashes, at = hashes[kept], at[kept]
+def _told(tokens: Template, known: Known | None = None) -> list[dict]:
+    hashes, at, size = windows(tokens, known)
     return [
         {"hash": h, "at": k, "slots": [v for i in range(k, k + size) if (v := tokens.value(i))]}
         for h, k in zip(hashes.tolist(), at.tolist())
     ]
 
 
+def needed_words(text: str, names: bool, cover: float) -> list[str]:
+    """Words of an item such that a text without any of them covers less than `cover` of its windows.
+
+    Each word is in the windows around it, so leaving out a few spaced words leaves out enough
+    windows.  The longest are taken, as they tend to be rare.
+    """
+    tokens = template(text, names)
+    _, at, size = windows(tokens)
+    words: dict[str, set[int]] = {}
+    for i, (word, value) in enumerate(tokens.tokens()):
+        if not value:
+            words.setdefault(word, set()).update(range(i - size + 1, i + 1))
+    left, chosen = set(at.tolist()), []
+    # lower case of a sigma depends on its neighbours
+    for word in sorted(words, key=lambda w: ("σ" in w or "ς" in w, -len(w), w)):
+        if len(left) < cover * len(at) or not len(at):
+            break
+        chosen.append(word)
+        left -= words[word]
+    return chosen
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """item_id, form, n, hash, at, slots: the windows of each item in either form; n of them in all."""
 
@@ -188,15 +255,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
     items = cut(item_windows(benchmark))
     hashes = items.select("hash").distinct()
     few = hashes.limit(HELD_HASHES + 1).count() <= HELD_HASHES
-    only = np.array(sorted(r["hash"] for r in hashes.collect()), np.int64) if few else None
-    sent = docs.sparkSession.sparkContext.broadcast(only)
+    known = None
+    if few:
+
+        @F.arrow_udf("array<string>")
+        def words(texts: pa.Array) -> pa.Array:
+            found = [[w for names in (True, False) for w in needed_words(t.as_py() or "", names, cover)] for t in texts]
+            return pa.array(found, pa.list_(pa.string()))
+
+        needed = benchmark.select(F.explode(words("text")).alias("word")).distinct()
+        known = Known(np.array(sorted(r["hash"] for r in hashes.collect()), np.int64), sorted(r["word"] for r in needed.collect()))
+    sent = docs.sparkSession.sparkContext.broadcast(known)
 
     @F.arrow_udf(_FOUND)
     def matched(texts: pa.Array) -> pa.Array:
         held = sent.value
-        if held is not None and not len(held):
+        if held is not None and not len(held.hashes):
             return pa.array([[] for _ in texts], _FOUND_ARROW)
-        return pa.array([_told(template(t.as_py() or ""), held) for t in texts], _FOUND_ARROW)
+        rows = (t.as_py() or "" for t in texts)
+        return pa.array([_told(template(t), held) if held is None or held.may_hold(t) else [] for t in rows], _FOUND_ARROW)
 
     found = docs.select("doc_id", F.inline(matched("text"))).withColumnRenamed("slots", "filled")
     pairs = found.withColumnRenamed("at", "place").join(items, "hash")
