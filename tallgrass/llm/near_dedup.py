@@ -258,18 +258,23 @@ def _links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, members: DataFram
         if turn == "all":
             sizes = apart.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("n"))
             main = cut(sizes.groupBy(*bucket).agg(F.max_by("root", F.struct("n", "root")).alias("main")))
-            lead = apart.join(main, bucket).where("root <> main")
+            lead = apart.join(main, bucket).where("root <> main")  # with the bucket's main class
         else:
             first = F.min("key") if turn == "least" else F.max("key")
             lead = apart.join(cut(apart.groupBy(*bucket).agg(first.alias("key"))), [*bucket, "key"])
-        lead = cut(lead.select(*bucket, F.col("key").alias("lead"), F.col("root").alias("other")))
+        more = ["main"] if turn == "all" else []
+        lead = cut(lead.select(*bucket, F.col("key").alias("lead"), F.col("root").alias("other"), *more))
         if turn == "least":
             pairs = apart.join(lead, bucket).where("root <> other").select("key", "lead")
         else:
-            signed = nodes.select("key", "n", "bits")
+            signed = nodes.select("key", "n", "bits", "sketches")
             own = cut(apart.join(signed, "key"))
-            lead = cut(lead.join(signed.toDF("lead", "m", "lead_bits"), "lead"))
+            lead = cut(lead.join(signed.toDF("lead", "m", "lead_bits", "lead_sketches"), "lead"))
             near = may_be_similar(F.col("n"), F.col("bits"), F.col("m"), F.col("lead_bits"))
+            if turn == "all":  # each pair once: by one of its ends, in the first of its buckets
+                alike = F.zip_with("sketches", "lead_sketches", lambda x, y: x == y)
+                near &= (F.col("root") == F.col("main")) | (F.col("key") < F.col("lead"))
+                near &= F.array_position(alike, F.lit(True)) == F.col("slot") + 1
             pairs = own.join(lead, bucket).where((F.col("root") != F.col("other")) & near).select("key", "lead")
         if turn == "least":  # of a text's leaders the one with which it shares most sketches
             pairs = pairs.groupBy("key", "lead").agg(F.count(F.lit(1)).alias("n"))
