@@ -91,6 +91,20 @@ def test_near_dedup(spark):
     assert all(r["class_size"] == sizes[r["class_id"]] for r in got)
 
 
+def test_near_dedup_in_one_large_group(spark):
+    """Copies of one text with so many edits that some are linked, some only through others, some not."""
+    rnd = random.Random(11)
+    base, texts = words(rnd, 90), []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rnd.randint(1, 6)):
+            copy[rnd.randrange(len(copy))] = f"x{rnd.randint(0, 10**6)}"
+        texts.append((i, " ".join(copy)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_groups(docs_of(spark, texts)).collect()}
+    assert got == brute_classes(texts)
+    assert 1 < len(set(got.values())) < 60
+
+
 def test_near_dedup_empty(spark):
     assert near_dedup.near_groups(docs_of(spark, [])).collect() == []
 
