@@ -140,7 +140,7 @@ def str_similarity(spark, d):
 
 def plan_rules(spark, d):
     """Line items as planners' actions: a tool for each return flag, arguments from the row."""
-    rows = _t(spark, d, "lineitem").select(F.monotonically_increasing_id().alias("id"), "*").where("l_orderkey % 10 = 0")
+    rows = _t(spark, d, "lineitem").select(F.monotonically_increasing_id().alias("id"), "*")
     tools = spark.createDataFrame([("A", ["quantity", "tax"], ["quantity"]), ("N", ["quantity"], ["quantity"])], "name string, properties array<string>, required array<string>")
     arguments = F.create_map(F.lit("quantity"), F.when(F.col("l_quantity") > 25, F.col("l_quantity").cast("string")).otherwise(F.lit("")))
     more = F.map_concat(arguments, F.create_map(F.lit("tax"), F.col("l_tax").cast("string")))
