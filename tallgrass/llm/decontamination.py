@@ -14,7 +14,8 @@ A document holds an item if consistent diagonals cover 0.8 or more of the item's
 
 A text need not be cut into windows if it has none of a few words without which no item can
 be covered; that test is exact.  Items are indexed in two forms, with names as slots and with names as words, since texts in
-capitals show no names.  Items of fewer than five tokens are one window of all of them.
+capitals show no names.  Items of fewer than five tokens are one window of all of them;
+documents are cut into windows of each length that an item has.
 
 Cases: null or empty texts and items match nothing; very long texts are read whole; an item
 that occurs several times is judged by all its diagonals; of repeated rows each doc_id is
@@ -176,11 +177,14 @@ class Known:
         return at[self.hashes[near] == own]
 
 
-def windows(tokens: Template, known: Known | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes as signed 64-bit, their places, and the tokens in a window; with `known` those that are."""
-    size = min(WINDOW, len(tokens.hashes))
-    if not size:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+def windows(tokens: Template, known: Known | None = None, size: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes as signed 64-bit, their places, and the tokens in a window; with `known` those that are.
+
+    Without a size, windows are as an item has them: of five tokens, or of all if they are fewer.
+    """
+    size = size or min(WINDOW, len(tokens.hashes))
+    if not size or size > len(tokens.hashes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), size
     hashes = tokens.hashes
     n = len(hashes) - size + 1
     with np.errstate(over="ignore"):
@@ -200,8 +204,8 @@ _FOUND_ARROW = pa.list_(
 )
 
 
-def _told(tokens: Template, known: Known | None = None) -> list[dict]:
-    hashes, at, size = windows(tokens, known)
+def _told(tokens: Template, known: Known | None = None, size: int | None = None) -> list[dict]:
+    hashes, at, size = windows(tokens, known, size)
     return [
         {"hash": h, "at": k, "slots": [v for i in range(k, k + size) if (v := tokens.value(i))]}
         for h, k in zip(hashes.tolist(), at.tolist())
@@ -231,22 +235,23 @@ def needed_words(text: str, names: bool, cover: float) -> list[str]:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, form, n, hash, at, slots: the windows of each item in either form; n of them in all."""
+    """item_id, form, size, n, hash, at, slots: the windows of each item in either form, of `size` tokens; n of them in all."""
 
-    @F.arrow_udf(f"array<struct<form:int,found:{_FOUND}>>")
+    @F.arrow_udf(f"array<struct<form:int,size:int,found:{_FOUND}>>")
     def both(texts: pa.Array) -> pa.Array:
         rows = []
         for text in texts:
             text = text.as_py() or ""
-            forms = [_told(template(text, names)) for names in (True, False)]
-            rows.append([{"form": i, "found": f} for i, f in enumerate(forms) if i == 0 or f != forms[0]])
-        return pa.array(rows, pa.list_(pa.struct([("form", pa.int32()), ("found", _FOUND_ARROW)])))
+            parts = [template(text, names) for names in (True, False)]
+            forms = [{"form": i, "size": min(WINDOW, len(t.hashes)), "found": _told(t)} for i, t in enumerate(parts)]
+            rows.append([f for i, f in enumerate(forms) if i == 0 or f["found"] != forms[0]["found"]])
+        return pa.array(rows, pa.list_(pa.struct([("form", pa.int32()), ("size", pa.int32()), ("found", _FOUND_ARROW)])))
 
     items = benchmark.select("item_id", "text").where("item_id IS NOT NULL").distinct()
     return (
         items.select("item_id", F.inline(both("text")))
         .where(F.size("found") > 0)
-        .select("item_id", "form", F.size("found").alias("n"), F.inline("found"))
+        .select("item_id", "form", "size", F.size("found").alias("n"), F.inline("found"))
     )
 
 
@@ -254,6 +259,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
     """doc_id, item_id, coverage: each item that a document holds."""
     items = cut(item_windows(benchmark))
     hashes = items.select("hash").distinct()
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # WINDOW at most
     few = hashes.limit(HELD_HASHES + 1).count() <= HELD_HASHES
     known = None
     if few:
@@ -267,13 +273,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
         known = Known(np.array(sorted(r["hash"] for r in hashes.collect()), np.int64), sorted(r["word"] for r in needed.collect()))
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
+    def of_text(text: str, held: Known | None) -> list[dict]:
+        tokens = template(text)
+        return [w for size in sizes for w in _told(tokens, held, size)]
+
     @F.arrow_udf(_FOUND)
     def matched(texts: pa.Array) -> pa.Array:
         held = sent.value
         if held is not None and not len(held.hashes):
             return pa.array([[] for _ in texts], _FOUND_ARROW)
         rows = (t.as_py() or "" for t in texts)
-        return pa.array([_told(template(t), held) if held is None or held.may_hold(t) else [] for t in rows], _FOUND_ARROW)
+        return pa.array([of_text(t, held) if held is None or held.may_hold(t) else [] for t in rows], _FOUND_ARROW)
 
     found = docs.select("doc_id", F.inline(matched("text"))).withColumnRenamed("slots", "filled")
     pairs = found.withColumnRenamed("at", "place").join(items, "hash")

@@ -352,6 +352,23 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs_of(spark, texts), benchmark.where("false")).collect() == []
 
 
+def test_short_items_in_long_texts(spark):
+    items = [(1, "Who painted the Mona Lisa?"), (2, "two words"), (3, "zebra"), (4, "five words are one window")]
+    filler = "some more text of other things " * 50
+    texts = [
+        (1, f"{filler}. Who painted the Mona Lisa? {filler}"),
+        (2, f"{filler} two words {filler}"),
+        (3, f"{filler} zebra {filler}"),
+        (4, f"{filler} two other words and zebras who painted {filler}"),
+        (5, "two words"),
+        (6, "zebra"),
+        (7, f"{filler} five words are one window {filler}"),
+    ]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs_of(spark, texts), benchmark).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (5, 2), (6, 3), (7, 4)}
+
+
 def test_templates():
     told = decontamination.template("Tom Smith has 3.5 km and Anna Lee 20 % of $ 7. Then 12 Days").tokens()
     assert [t for t, _ in told] == "tom <name> has <num> <unit> and <name> <num> <unit> of <num> then <num> <unit>".split()
