@@ -13,8 +13,11 @@ question with other numbers or names is caught, while text that only looks alike
 A document holds an item if consistent diagonals cover 0.8 or more of the item's windows.
 
 A text need not be cut into windows if it has none of a few words without which no item can
-be covered; that test is exact.  Items are indexed in two forms, with names as slots and with names as words, since texts in
-capitals show no names.  Items of fewer than five tokens are one window of all of them;
+be covered; that test is exact.  Documents and items are read in two forms, with names as slots
+and with names as words, and held against each other form by form: a name is not always written
+as one, as in capitals or where a sentence opens.  Within a sentence the first word of an item
+may be part of a name, or a unit after a number; so items are also indexed as they read there,
+and the document must have that word in its place.  Items of fewer than five tokens are one window of all of them;
 documents are cut into windows of each length that an item has.
 
 Cases: null or empty texts and items match nothing; very long texts are read whole; an item
@@ -202,23 +205,48 @@ _FOUND = "array<struct<hash:bigint,at:int,slots:array<string>>>"
 _FOUND_ARROW = pa.list_(
     pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("slots", pa.list_(pa.string()))])
 )
+_READ = "array<struct<names:boolean,hash:bigint,at:int,slots:array<string>>>"
+_READ_ARROW = pa.list_(
+    pa.struct([("names", pa.bool_()), ("hash", pa.int64()), ("at", pa.int32()), ("slots", pa.list_(pa.string()))])
+)
+#: Before a slot that an item's first word opens; the word and what follows it in the slot come behind.
+_LEAD = "\x01"
 
 
-def _told(tokens: Template, known: Known | None = None, size: int | None = None) -> list[dict]:
+def _told(tokens: Template, known: Known | None = None, size: int | None = None, lead: bool = False) -> list[dict]:
     hashes, at, size = windows(tokens, known, size)
+
+    def value(i: int) -> str:
+        return f"{_LEAD}{tokens.value(i)}" if lead and i == 0 else tokens.value(i)
+
     return [
-        {"hash": h, "at": k, "slots": [v for i in range(k, k + size) if (v := tokens.value(i))]}
+        {"hash": h, "at": k, "slots": [value(i) for i in range(k, k + size) if tokens.value(i)]}
         for h, k in zip(hashes.tolist(), at.tolist())
     ]
 
 
-def needed_words(text: str, names: bool, cover: float) -> list[str]:
+def item_forms(text: str) -> list[tuple[bool, bool, Template]]:
+    """Whether names are slots, whether the first word stands in one, and the tokens: an item's different forms."""
+    found: list[tuple[bool, bool, Template]] = []
+    for names in (True, False):
+        alone = template(text, names)
+        found.append((names, False, alone))
+        seen = [alone.hashes.tolist()]
+        for before in ("x ", "1 "):  # within a sentence; after a number
+            within = template(before + text, names)
+            within = Template(within.raw, within.hashes[1:], within.first[1:], within.last[1:])
+            if within.hashes.tolist() not in seen:
+                seen.append(within.hashes.tolist())
+                found.append((names, True, within))
+    return found
+
+
+def needed_words(tokens: Template, cover: float) -> list[str]:
     """Words of an item such that a text without any of them covers less than `cover` of its windows.
 
     Each word is in the windows around it, so leaving out a few spaced words leaves out enough
     windows.  The longest are taken, as they tend to be rare.
     """
-    tokens = template(text, names)
     _, at, size = windows(tokens)
     words: dict[str, set[int]] = {}
     for i, (word, value) in enumerate(tokens.tokens()):
@@ -235,23 +263,23 @@ def needed_words(text: str, names: bool, cover: float) -> list[str]:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, form, size, n, hash, at, slots: the windows of each item in either form, of `size` tokens; n of them in all."""
+    """item_id, form, names, size, n, hash, at, slots: the windows of each item in each form, of `size` tokens; n of them in all."""
 
-    @F.arrow_udf(f"array<struct<form:int,size:int,found:{_FOUND}>>")
-    def both(texts: pa.Array) -> pa.Array:
+    @F.arrow_udf(f"array<struct<form:int,names:boolean,size:int,found:{_FOUND}>>")
+    def forms(texts: pa.Array) -> pa.Array:
         rows = []
         for text in texts:
-            text = text.as_py() or ""
-            parts = [template(text, names) for names in (True, False)]
-            forms = [{"form": i, "size": min(WINDOW, len(t.hashes)), "found": _told(t)} for i, t in enumerate(parts)]
-            rows.append([f for i, f in enumerate(forms) if i == 0 or f["found"] != forms[0]["found"]])
-        return pa.array(rows, pa.list_(pa.struct([("form", pa.int32()), ("size", pa.int32()), ("found", _FOUND_ARROW)])))
+            rows.append([
+                {"form": i, "names": names, "size": min(WINDOW, len(t.hashes)), "found": _told(t, lead=lead)}
+                for i, (names, lead, t) in enumerate(item_forms(text.as_py() or ""))
+            ])
+        return pa.array(rows, pa.list_(pa.struct([("form", pa.int32()), ("names", pa.bool_()), ("size", pa.int32()), ("found", _FOUND_ARROW)])))
 
     items = benchmark.select("item_id", "text").where("item_id IS NOT NULL").distinct()
     return (
-        items.select("item_id", F.inline(both("text")))
+        items.select("item_id", F.inline(forms("text")))
         .where(F.size("found") > 0)
-        .select("item_id", "form", "size", F.size("found").alias("n"), F.inline("found"))
+        .select("item_id", "form", "names", "size", F.size("found").alias("n"), F.inline("found"))
     )
 
 
@@ -266,7 +294,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
 
         @F.arrow_udf("array<string>")
         def words(texts: pa.Array) -> pa.Array:
-            found = [[w for names in (True, False) for w in needed_words(t.as_py() or "", names, cover)] for t in texts]
+            found = [[w for *_, form in item_forms(t.as_py() or "") for w in needed_words(form, cover)] for t in texts]
             return pa.array(found, pa.list_(pa.string()))
 
         needed = benchmark.select(F.explode(words("text")).alias("word")).distinct()
@@ -275,24 +303,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
 
     def of_text(text: str, held: Known | None) -> list[dict]:
         tokens = template(text)
-        return [w for size in sizes for w in _told(tokens, held, size)]
+        read = [{"names": True} | w for size in sizes for w in _told(tokens, held, size)]
+        if not (tokens.hashes == np.uint64(_SLOTS["<name>"])).any():  # it reads alike without names
+            return read + [w | {"names": False} for w in read]
+        tokens = template(text, names=False)
+        return read + [{"names": False} | w for size in sizes for w in _told(tokens, held, size)]
 
-    @F.arrow_udf(_FOUND)
+    @F.arrow_udf(_READ)
     def matched(texts: pa.Array) -> pa.Array:
         held = sent.value
         if held is not None and not len(held.hashes):
-            return pa.array([[] for _ in texts], _FOUND_ARROW)
+            return pa.array([[] for _ in texts], _READ_ARROW)
         rows = (t.as_py() or "" for t in texts)
-        return pa.array([of_text(t, held) if held is None or held.may_hold(t) else [] for t in rows], _FOUND_ARROW)
+        return pa.array([of_text(t, held) if held is None or held.may_hold(t) else [] for t in rows], _READ_ARROW)
 
-    found = docs.select("doc_id", F.inline(matched("text"))).withColumnRenamed("slots", "filled")
-    pairs = found.withColumnRenamed("at", "place").join(items, "hash")
+    # read twice below; texts should not be
+    found = cut(docs.select("doc_id", F.inline(matched("text"))).withColumnRenamed("slots", "filled"))
+    pairs = found.withColumnRenamed("at", "place").join(items, ["names", "hash"])
     by_item = ["doc_id", "item_id", "form", "n"]
     diagonal = (*by_item, (F.col("place") - F.col("at")).alias("diagonal"))
     # one row for each diagonal and window; slots that are filled by one value each
     lines = pairs.select(*diagonal, "at", F.arrays_zip("slots", "filled").alias("fills")).distinct()
-    fills = lines.select(*by_item, "diagonal", F.explode("fills").alias("f")).groupBy(*by_item, "diagonal", "f.slots")
-    unlike = fills.agg(F.min("f.filled").alias("x"), F.max("f.filled").alias("y")).where("x <> y")
+    fills = lines.select(*by_item, "diagonal", F.inline("fills"))
+    # where the item's first word opens the slot, the document's value must have it, and what follows fills the rest
+    lead = F.col("slots").startswith(_LEAD)
+    word = F.regexp_extract("slots", f"^{_LEAD}([^ ]*)", 1)
+    after = F.regexp_extract("slots", f"^{_LEAD}[^ ]* (.*)$", 1)
+    value, word = F.concat(F.lit(" "), "filled"), F.concat(F.lit(" "), word)
+    inner = F.concat(word, F.lit(" "))
+    has = F.when(after == "", value.endswith(word)).otherwise(value.contains(inner))
+    rest = F.when(after == "", "").otherwise(F.call_function("substring_index", value, inner, F.lit(-1)))
+    fills = fills.select(
+        *by_item, "diagonal", F.when(lead, after).otherwise(F.col("slots")).alias("slot"),
+        F.when(lead, rest).otherwise(F.col("filled")).alias("value"), (~lead | has).alias("has"),
+    )
+    fills = fills.groupBy(*by_item, "diagonal", "slot")
+    unlike = fills.agg(F.min("value").alias("x"), F.max("value").alias("y"), F.bool_and("has").alias("has")).where("x <> y OR NOT has")
     unlike = unlike.select(*by_item, "diagonal").distinct()
     sound = lines.join(unlike, [*by_item, "diagonal"], "left_anti")
     covered = sound.groupBy(*by_item).agg((F.countDistinct("at") / F.col("n")).alias("coverage"))

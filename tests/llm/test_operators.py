@@ -369,6 +369,23 @@ def test_short_items_in_long_texts(spark):
     assert got == {(1, 1), (2, 2), (3, 3), (5, 2), (6, 3), (7, 4)}
 
 
+def test_items_within_sentences(spark):
+    items = [(1, "What is the capital of France?"), (2, "Is Paris larger than Rome by day?"), (3, "In Rome how many bridges stand")]
+    texts = [
+        (1, "Some text. Question: What is the capital of France? An answer."),
+        (2, "Some text. Question: What is the capital of Germany? An answer."),
+        (3, "they say Berlin is the capital of Germany"),
+        (4, "Sample Question: Is Paris larger than Rome by day? An answer."),
+        (5, "Sample Question: Is Berlin larger than Munich by day? An answer."),
+        (6, "Sample Question: Was Berlin larger than Munich by day? An answer."),
+        (7, "Question 7 In Rome how many bridges stand there"),
+        (8, "WHAT IS THE CAPITAL OF FRANCE"),
+    ]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs_of(spark, texts), benchmark).collect()}
+    assert got == {(1, 1), (2, 1), (4, 2), (5, 2), (7, 3), (8, 1)}
+
+
 def test_templates():
     told = decontamination.template("Tom Smith has 3.5 km and Anna Lee 20 % of $ 7. Then 12 Days").tokens()
     assert [t for t, _ in told] == "tom <name> has <num> <unit> and <name> <num> <unit> of <num> then <num> <unit>".split()
