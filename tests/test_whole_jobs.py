@@ -3,9 +3,11 @@
 import os
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from tallgrass.operators import terms
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -25,3 +27,26 @@ def test_plan_rules_checks_every_line_item(spark):
         expected["; ".join(sorted(errors))] += 1
     got = {r["errors"]: r["n"] for r in entry.queries()["plan_rules"](spark, SF).collect()}
     assert got == expected
+
+
+def test_svd_neighbors_against_numpy(spark, monkeypatch):
+    monkeypatch.setattr(terms, "PRODUCT_WEIGHTS", 5_000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id AS id", "text")
+    weights = terms.tfidf(docs, 5_000).collect()
+    ids, names = sorted({r["id"] for r in weights}), sorted({r["term"] for r in weights})
+    row, column = {x: i for i, x in enumerate(ids)}, {x: i for i, x in enumerate(names)}
+    matrix = np.zeros((len(ids), len(names)))
+    for r in weights:
+        matrix[row[r["id"]], column[r["term"]]] = r["weight"]
+    u, s, _ = np.linalg.svd(matrix, full_matrices=False)
+    v = u[:, :128] * s[:128]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    cosines = v @ v.T
+    np.fill_diagonal(cosines, -2)
+    got = entry.queries()["svd_neighbors"](spark, SF).collect()
+    queries = [i for i in ids if i % 100 == 0]
+    assert len(names) > 500 and len(got) == 5 * len(queries)
+    for q in queries:
+        own = sorted((r["rank"], r["similarity"], r["item"]) for r in got if r["query"] == q)
+        assert np.allclose([x for _, x, _ in own], np.sort(cosines[row[q]])[::-1][:5], atol=1e-5)
+        assert np.allclose([cosines[row[q], row[item]] for *_, item in own], [x for _, x, _ in own], atol=1e-5)
