@@ -189,9 +189,9 @@ def kmeans(spark, d):
 
 
 def retrieve_topk(spark, d):
-    """The five nearest tools for each hundredth vector as a query."""
+    """The five nearest other vectors for each hundredth vector as a query."""
     rows = _vectors(spark, d)
-    found = vectors.nearest(rows.where("id % 100 = 0"), rows.where("id % 100 <> 0"), K, same=False)
+    found = vectors.nearest(rows.where("id % 100 = 0"), rows, K, same=True)
     return found.select("query", "item", "similarity", F.col("rank").cast("long").alias("rank"))
 
 

@@ -50,3 +50,24 @@ def test_svd_neighbors_against_numpy(spark, monkeypatch):
         own = sorted((r["rank"], r["similarity"], r["item"]) for r in got if r["query"] == q)
         assert np.allclose([x for _, x, _ in own], np.sort(cosines[row[q]])[::-1][:5], atol=1e-5)
         assert np.allclose([cosines[row[q], row[item]] for *_, item in own], [x for _, x, _ in own], atol=1e-5)
+
+
+def test_retrieval_searches_every_vector(spark, tmp_path):
+    rnd = np.random.RandomState(5)
+    rows = [(i, rnd.normal(size=8).tolist()) for i in range(450)]
+    for i in (100, 300):  # hundredth vectors near the query 0
+        rows[i] = (i, [x + 0.01 * i / 100 for x in rows[0][1]])
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    d = str(tmp_path)
+    ids = np.array([i for i, _ in rows])
+    v = np.array([e for _, e in rows], np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    cosines = v @ v.T
+    np.fill_diagonal(cosines, -2)
+    near = {int(q): [int(ids[k]) for k in np.lexsort((ids, -own))[:10]] for q, own in zip(ids, cosines) if q % 100 == 0}
+    got = {(r["query"], r["rank"]): r["item"] for r in entry.queries()["retrieve_topk"](spark, d).collect()}
+    assert got == {(q, k + 1): item for q, items in near.items() for k, item in enumerate(items[:5])}
+    assert near[0][:2] == [100, 300]
+    places = {0: [3, 1, 0], 100: [9, 8, 7, 6, 5], 200: [0, 1, 2, 3, 4], 300: [], 400: [2]}
+    got = {(r["request"], r["rank"]): r["name"] for r in entry.queries()["rerank_sanitize"](spark, d).collect()}
+    assert got == {(q, k + 1): items[at] for q, items in near.items() for k, at in enumerate(places[q % 500])}
