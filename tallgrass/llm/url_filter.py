@@ -27,13 +27,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 Rule = tuple[str, str, str]  # verdict, host, start of the path
 
 DAMPING = 0.85
-ROUNDS = 20
 TOLERANCE = 1e-6
+#: More rounds than the tolerance takes; with none left there is an error, not a score.
+ROUNDS = 1_000
 #: Links with a host of their own: an optional scheme, two slashes, and the host.
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 
@@ -86,7 +87,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> DataFrame:
-    """host, score: personalised PageRank over edges (source, target, weight) from seeds (host, seed)."""
+    """host, score: personalised PageRank over edges (source, target, weight) from seeds (host, seed).
+
+    It ends when no score moves by TOLERANCE; each round moves at most `damping` times as much
+    in all as the one before, so that it ends.
+    """
     outgoing = edges.groupBy("source").agg(F.sum("weight").alias("all"))
     shares = cut(edges.join(outgoing, "source").select("source", "target", (F.col("weight") / F.col("all")).alias("share")))
     own = seeds.select("host", ((1 - damping) * F.col("seed")).alias("score"))
@@ -103,10 +108,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> D
             .agg(F.max(F.abs(F.col("score") - F.coalesce("before", F.lit(0.0)))))
             .first()[0]
         )
+        drop(scores)
         scores = after
         if (moved or 0.0) < TOLERANCE:
-            break
-    return scores
+            return scores
+    raise ArithmeticError(f"scores still move by {moved} after {ROUNDS} rounds")
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], damping: float = DAMPING) -> DataFrame:

@@ -196,6 +196,14 @@ def test_link_graph_against_brute_force(spark):
             assert r["verdict"] == ("block" if bad else "allow")
 
 
+def test_distrust_in_a_cycle_is_followed_to_its_end(spark):
+    pages = [(0, "http://bad.net/es/", '<a href="//b.org/">x</a>'), *((i, "http://bad.net/x", "") for i in range(1, 6)), (6, "http://b.org/x", '<a href="//bad.net/">x</a>')]
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), [("block", "bad.net", "/es/")]).collect()}
+    limit = 0.15 / 6 * 0.85 / (1 - 0.85**2)  # of the endless sum; a little over the threshold
+    assert 0.075 < limit < 0.077
+    assert got[6]["distrust"] == pytest.approx(limit, abs=1e-5) and got[6]["verdict"] == "block"
+
+
 # ---- exact copies ----
 
 
