@@ -22,7 +22,7 @@ counted one by one, which pre-aggregates and needs no group in one task.
 Cases: null text counts as empty; texts shorter than `length` bytes keep all; matches never
 cross documents; very long texts are read whole, in segments of SEGMENT bytes that overlap;
 rows that repeat a document are repeats of each other; equal doc_ids with different texts
-are told apart by a hash of the text; an empty table gives an empty result; further columns
+are told apart by a hash of the text; rows of null doc_id lose their repeats as others do; an empty table gives an empty result; further columns
 are ignored.
 """
 
@@ -282,7 +282,9 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, spans, kept: the removed ranges and the other bytes of each row of `docs`."""
     spark = docs.sparkSession
     doc = ["doc_id", "text_key"]
-    texts = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text"))
+    # joins want a doc_id; what a text repeats depends on the text only, so it may be another's
+    key = F.coalesce("doc_id", F.lit(0)).alias("doc_id")
+    texts = docs.select(key, F.col("doc_id").alias("own_id"), F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text"))
 
     struct = pa.struct([("anchor", pa.int64()), ("content", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])
 
@@ -338,9 +340,10 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     touched, others = _parted(texts, ranges, doc)
     n_bytes = F.octet_length("text").cast("long").alias("n_bytes")
-    changed = touched.join(ranges, doc).select("doc_id", n_bytes, rest("text", "ranges").alias("x")).select("doc_id", "n_bytes", "x.*")
+    own_id = F.col("own_id").alias("doc_id")
+    changed = touched.join(ranges, doc).select(own_id, n_bytes, rest("text", "ranges").alias("x")).select("doc_id", "n_bytes", "x.*")
     no_span = F.array().cast("array<struct<start:int,end:int>>").alias("spans")
-    as_it_was = others.select("doc_id", n_bytes, no_span, F.col("text").cast("binary").alias("kept"))
+    as_it_was = others.select(own_id, n_bytes, no_span, F.col("text").cast("binary").alias("kept"))
     return changed.unionByName(as_it_was)
 
 

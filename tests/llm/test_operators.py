@@ -319,6 +319,20 @@ def test_suffix_dedup(spark, monkeypatch, hot):
     assert suffix_dedup.repeats(docs_of(spark, []), 40).collect() == []
 
 
+@pytest.mark.parametrize("hot", [10_000, 0])
+def test_suffix_dedup_with_null_ids(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rnd = random.Random(4)
+    passages = ["".join(rnd.choice("abcdefgh ") for _ in range(120)) for _ in range(3)]
+    other = lambda: "".join(rnd.choice("stuvwxyz") for _ in range(60))
+    rows = [(None, passages[0] + other()), (1, other() + passages[0][20:] + other()), (None, passages[1]), (None, passages[1]), (0, passages[2] + other() + passages[2]), (None, "")]
+    raw = [t.encode() for _, t in rows]
+    got = suffix_dedup.repeats(docs_of(spark, rows), 40).collect()
+    expected = [(i, len(b), kept) for (i, _), b, (kept, _) in zip(rows, raw, brute_repeats(raw, 40))]
+    assert any(i is None and len(kept) < n for i, n, kept in expected)
+    assert sorted(((r["doc_id"], r["n_bytes"], bytes(r["kept"])) for r in got), key=repr) == sorted(expected, key=repr)
+
+
 def test_matching_statistics():
     rnd = random.Random(5)
     for _ in range(60):
