@@ -270,7 +270,7 @@ round(count(*) FILTER (tool_type = 'synthetic') / count(DISTINCT CASE WHEN tool_
 x AS (SELECT a.vec_id AS id, b.vec_id AS cluster, list_distance(a.e, b.e) AS far FROM v a JOIN v b ON b.vec_id < 8)
 SELECT id, cluster FROM x QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(far, 12), cluster) = 1""",
     "retrieve_topk": f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-x AS (SELECT a.vec_id AS query, b.vec_id AS item, list_cosine_similarity(a.e, b.e) AS raw FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id % 100 <> 0)
+x AS (SELECT a.vec_id AS query, b.vec_id AS item, list_cosine_similarity(a.e, b.e) AS raw FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
 SELECT query, item, round(raw, 6) AS similarity, row_number() OVER (PARTITION BY query ORDER BY raw DESC, item) AS rank
 FROM x QUALIFY rank <= {K}""",
 }

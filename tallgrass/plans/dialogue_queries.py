@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from tallgrass.functions import schemas
-from tallgrass.operators import dag, dialogue, retrieval, vectors
+from tallgrass.operators import dag, dialogue, relational, retrieval, vectors
 
 #: Fixtures of answers and gold answers, with the JSON schema of a small tool.
 CASES = [
@@ -140,7 +140,7 @@ def str_similarity(spark, d):
 
 def plan_rules(spark, d):
     """Line items as planners' actions: a tool for each return flag, arguments from the row."""
-    rows = _t(spark, d, "lineitem").select(F.monotonically_increasing_id().alias("id"), "*")
+    rows = relational.settled(_t(spark, d, "lineitem").withColumn("id", F.monotonically_increasing_id()))  # line items repeat their keys
     tools = spark.createDataFrame([("A", ["quantity", "tax"], ["quantity"]), ("N", ["quantity"], ["quantity"])], "name string, properties array<string>, required array<string>")
     arguments = F.create_map(F.lit("quantity"), F.when(F.col("l_quantity") > 25, F.col("l_quantity").cast("string")).otherwise(F.lit("")))
     more = F.map_concat(arguments, F.create_map(F.lit("tax"), F.col("l_tax").cast("string")))
@@ -153,9 +153,8 @@ def plan_rules(spark, d):
 def tool_rules(spark, d):
     """Whether orders have as many lines of status O as of others, as actions and observations."""
     lines = _t(spark, d, "lineitem").groupBy("l_orderkey")
-    own = lambda c: F.collect_list(F.when(c, F.col("l_partkey")))
-    found = lines.agg(own(F.col("l_linestatus") == "O").alias("a"), own(F.col("l_linestatus") != "O").alias("o"))
-    return found.select("l_orderkey", dialogue.observations_match(F.col("a"), F.col("o")).alias("matches"))
+    own = lambda c: F.count_if(c).cast("int")
+    return lines.agg((own(F.col("l_linestatus") == "O") == own(F.col("l_linestatus") != "O")).alias("matches"))
 
 
 def _nodes(spark, d):
@@ -247,7 +246,7 @@ SQL = {
     "context_query_tail": _CONTEXT + "SELECT request, coalesce(right(t, 2000), '') AS query FROM x",
     "instruct_query": _LAST + f"SELECT request, 'Instruct: {retrieval.INSTRUCTION}' || chr(10) || 'Query: ' || query AS query FROM q",
     "rerank_sanitize": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-x AS (SELECT a.vec_id AS request, b.vec_id AS name, list_cosine_similarity(a.e, b.e) AS raw FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id % 100 <> 0),
+x AS (SELECT a.vec_id AS request, b.vec_id AS name, list_cosine_similarity(a.e, b.e) AS raw FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
 c AS (SELECT request, name, row_number() OVER (PARTITION BY request ORDER BY raw DESC, name) - 1 AS place FROM x QUALIFY place < 10),
 o AS (SELECT 0 AS k, 3 AS place, 1 AS rank UNION ALL SELECT 0, 1, 2 UNION ALL SELECT 0, 0, 3
   UNION ALL SELECT 100, 9 - i, i + 1 FROM range(5) t(i) UNION ALL SELECT 200, i, i + 1 FROM range(5) t(i) UNION ALL SELECT 400, 2, 1)
@@ -268,7 +267,7 @@ CASE WHEN l_linestatus = 'O' THEN 'simulation' END,
 CASE WHEN l_returnflag NOT IN ('A', 'N') THEN 'unknown tool' END,
 CASE WHEN l_returnflag = 'N' AND l_linenumber % 2 = 0 THEN 'unknown argument' END,
 CASE WHEN l_returnflag IN ('A', 'N') AND l_quantity <= 25 THEN 'empty required' END
-], lambda x: x IS NOT NULL)), '; ') AS errors FROM lineitem WHERE l_orderkey % 10 = 0)
+], lambda x: x IS NOT NULL)), '; ') AS errors FROM lineitem)
 SELECT errors, count(*) AS n FROM r GROUP BY 1""",
     "tool_rules": "SELECT l_orderkey, count(*) FILTER (l_linestatus = 'O') = count(*) FILTER (l_linestatus <> 'O') AS matches FROM lineitem GROUP BY 1",
     "dag_indegree": """SELECT conv_id AS task, CAST(turn AS INT) AS node,
