@@ -192,17 +192,24 @@ def step_candidates(found: Column, names: Column, step: Column) -> Column:
 
 
 def replay_column(nodes: Column, predicted: Column) -> Column:
-    """struct(label, step, failed_at, is_optimal) of struct(name, deps) arrays and predicted steps of names."""
+    """struct(label, step, failed_at, is_optimal, error) of struct(name, deps) arrays and predicted steps of names.
 
-    @F.arrow_udf("struct<label:string,step:int,failed_at:int,is_optimal:boolean>")
+    error says why a graph's paths can't be told; the rest is null then.
+    """
+
+    @F.arrow_udf("struct<label:string,step:int,failed_at:int,is_optimal:boolean,error:string>")
     def run(graphs: pa.Array, steps: pa.Array) -> pa.Array:
         out = []
         for own, told in zip(graphs.to_pylist(), steps.to_pylist()):
             names = [n["name"] for n in own or []]
-            found = paths(names, [n["deps"] or [] for n in own or []])
+            try:
+                found = paths(names, [n["deps"] or [] for n in own or []])
+            except ValueError as e:
+                out.append({"error": str(e)})
+                continue
             label, step, failed = replay(names, found, told or [])
             out.append({"label": label, "step": step, "failed_at": failed, "is_optimal": is_optimal(label, step, found)})
-        kind = pa.struct([("label", pa.string()), ("step", pa.int32()), ("failed_at", pa.int32()), ("is_optimal", pa.bool_())])
+        kind = pa.struct([("label", pa.string()), ("step", pa.int32()), ("failed_at", pa.int32()), ("is_optimal", pa.bool_()), ("error", pa.string())])
         return pa.array(out, kind)
 
     return run(nodes, predicted)

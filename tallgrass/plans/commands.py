@@ -119,7 +119,7 @@ def expand(tools: DataFrame, edges: DataFrame, tasks: DataFrame, generate: Calla
         F.col("name").alias("source"),
         F.explode(F.transform(F.sequence(F.lit(1), F.col("missing").cast("int")), lambda i: F.concat(F.col("name"), F.lit("_variant_"), i.cast("string")))).alias("new"),
         "json",
-    ).select("source", F.regexp_replace("json", F.concat(F.lit('"name":"'), "source", F.lit('"')), F.concat(F.lit('"name":"'), "new", F.lit('"'))).alias("json"))
+    ).select("source", F.replace(F.col("json"), F.concat(F.lit('"name":"'), "source", F.lit('"')), F.concat(F.lit('"name":"'), "new", F.lit('"'))).alias("json"))
     return described(made)
 
 

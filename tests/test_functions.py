@@ -197,3 +197,28 @@ def test_dialogue_helpers(spark):
         dialogue.is_tool_result(F.lit("Tool：x")).alias("d"),
     ).first()
     assert (row["a"], row["b"], row["c"][:4], row["d"]) == ("User: x", "Hi you", "2024", True)
+
+
+def test_broken_definitions():
+    head = {"type": "function"}
+    assert schemas.definition_errors(head | {"function": None}) == ["Missing 'function' field"]
+    named = {"name": "n", "description": "d"}
+    assert schemas.definition_errors(head | {"function": named | {"parameters": None}}) == ["Missing function parameters"]
+    assert schemas.definition_errors(head | {"function": named | {"parameters": {"type": "object", "properties": None}}}) == []
+
+
+def test_lists_of_types():
+    schema = {"type": "object", "properties": {"x": {"type": ["string", "null"]}, "y": {"type": ["string", "odd"]}}}
+    assert schemas.argument_error({"x": None, "y": 1}, schema) is None
+    assert schemas.argument_error({"x": "a"}, schema) is None
+    assert schemas.argument_error({"x": 1}, schema)
+
+
+def test_replay_beyond_all_paths(spark):
+    """Nine independent calls have more than MOST_PATHS executions: an error text, and the other rows go on."""
+    kind = "id int, nodes array<struct<name:string,deps:array<int>>>, told array<array<string>>"
+    rows = [(1, [(c, []) for c in "abcdefghi"], [["a"]]), (2, [("a", [])], [["a"]])]
+    got = spark.createDataFrame(rows, kind).select("id", dag.replay_column(F.col("nodes"), F.col("told")).alias("x")).select("id", "x.*")
+    first, second = sorted(got.collect())
+    assert first["label"] is None and "paths" in first["error"]
+    assert second["label"] == "correct" and second["error"] is None
