@@ -6,6 +6,7 @@ first, and ties must be broken by adding columns to them.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -21,11 +22,15 @@ def _row(df: DataFrame) -> Column:
 def settled(df: DataFrame) -> DataFrame:
     """`df` on reliable storage, so that a lost executor can't make it come out in another way.
 
-    The folder is the session's spark.checkpoint.dir; one is made only where none is set.
+    The folder is the session's spark.checkpoint.dir; one is made only where none is set and all
+    runs on one machine.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallgrass-"))
+        found = context.getConf().get("spark.checkpoint.dir", None)
+        if found is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="tallgrass-"))
     return df.checkpoint()
 
 
