@@ -4,17 +4,20 @@ A text becomes a vector of its letter n-grams of one to three characters (lower
 run of other characters is one word break), hashed into DIMENSIONS places and weighted by
 (1 + log count) * idf, at length 1.  The vectors of each language's training documents are
 clustered by spherical k-means; a text gets the language of the centroid of the highest
-cosine.  It is rejected where it lies further off than any centroid's reach: where the
-cosine is under half of the least that a training document has with its own language.
+cosine.  It is rejected where it lies beyond that centroid's reach.  Short texts lie further
+off than long ones, so each centroid has a reach for each BAND of lengths: MARGIN of the
+quantile OUTLIERS of the cosines that training texts, and excerpts of their middle with such
+a length, have with it.  A centroid with fewer than ENOUGH of these takes its language's.
 
 The model is fitted on at most about TRAIN_ROWS labelled documents, in equal shares per
-language, chosen by a hash of doc_id; this bound is a parameter.  Prediction reads the
+language, chosen by a hash of doc_id and text; this bound is a parameter.  Prediction reads the
 whole of each text and nothing else.
 
 Cases: null texts, empty texts and texts without a letter get `und`, score 0, and are
 rejected; very long texts are read whole; of equal cosines the language first in
-alphabetical order wins; repeated rows each get a prediction; without any labelled row all
-texts get `und`; rows of null lang are never trained on; further columns are ignored.
+alphabetical order wins; repeated rows each get a prediction; rows of null doc_id are not
+held out; without any labelled row all texts get `und`; rows of null lang are never trained
+on; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +30,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 DIMENSIONS = 1 << 13
 CLUSTERS = 4
 ROUNDS = 12
 TRAIN_ROWS = 2_400
+#: Reach: lengths are told apart by the power of two of their n-grams, up to the last band.
+BANDS = 13
+OUTLIERS = 0.01
+MARGIN = 0.7
+ENOUGH = 30
 UNKNOWN = "und"
 
 
@@ -55,6 +65,21 @@ def grams(text: str) -> np.ndarray | None:
     return np.bincount(places.astype(np.int64), minlength=DIMENSIONS)
 
 
+def band_of(counts: np.ndarray) -> int:
+    return min(BANDS - 1, int(counts.sum()).bit_length() - 1)
+
+
+def _excerpts(text: str) -> list[np.ndarray]:
+    """Counts of the text and of excerpts of its middle, one for each shorter band."""
+    found, whole, size = [grams(text)], len(text), 1
+    while 2 * size < whole and len(found) < BANDS:
+        part = grams(text[(whole - size) // 2 : (whole + size) // 2])
+        if part is not None:
+            found.append(part)
+        size *= 2
+    return found
+
+
 def _weights(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     found = np.zeros(DIMENSIONS, np.float32)
     (at,) = np.nonzero(counts)
@@ -64,12 +89,12 @@ def _weights(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Centroids at length 1, their languages, the idf, and the least cosine that is accepted."""
+    """Centroids at length 1, their languages, the idf, and the least cosine accepted by centroid and band."""
 
     languages: list[str]
     centroids: np.ndarray
     idf: np.ndarray
-    least: float
+    least: np.ndarray
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, cosine, and whether the text is rejected."""
@@ -79,7 +104,7 @@ class Model:
         cosines = self.centroids @ _weights(counts, self.idf)
         best = int(np.argmax(cosines))
         score = min(1.0, max(0.0, float(cosines[best])))
-        return self.languages[best], score, score < self.least
+        return self.languages[best], score, score < self.least[best, band_of(counts)]
 
 
 def _clusters(vectors: np.ndarray) -> np.ndarray:
@@ -106,29 +131,32 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return Model([], np.zeros((0, DIMENSIONS), np.float32), np.zeros(DIMENSIONS, np.float32), 0.0)
+        return Model([], np.zeros((0, DIMENSIONS), np.float32), np.zeros(DIMENSIONS, np.float32), np.zeros((0, BANDS)))
     each = max(20, train_rows // len(counts))
     slots = 1 << 30
     chance = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(slots, slots * each // n))])
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < F.element_at(chance, F.col("lang"))
+    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots)) < F.element_at(chance, F.col("lang"))
+
+    kind = pa.struct([("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
 
-    @F.arrow_udf("struct<at:array<int>,n:array<int>>")
     def sparse(texts: pa.Array) -> pa.Array:
         found = []
         for text in texts:
             dense = grams(text.as_py())
             (at,) = np.nonzero(dense if dense is not None else np.zeros(1))
             found.append({"at": at.astype(np.int32), "n": (dense[at] if len(at) else at).astype(np.int32)})
-        return pa.array(found, pa.struct([("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))]))
+        return pa.array(found, kind)
 
-    sample = labelled.where(chosen).select("doc_id", "lang", sparse("text").alias("x")).limit(2 * max(train_rows, 20 * len(counts)))
-    rows = sorted(sample.collect(), key=lambda r: (r["lang"], r["doc_id"], r["x"]["at"]))
+    sparse = F.arrow_udf("struct<at:array<int>,n:array<int>>")(sparse)
+    # rows that repeat are chosen together, and are one here: so the hash bounds their number
+    sample = cut(labelled.where(chosen).select("doc_id", "lang", "text").distinct())
+    rows = sorted(sample.select("doc_id", "lang", sparse("text").alias("x")).collect(), key=lambda r: (r["lang"], r["doc_id"] or 0, r["x"]["at"]))
     rows = [r for r in rows if len(r["x"]["at"])]
     seen = np.zeros(DIMENSIONS)
     for r in rows:
         seen[r["x"]["at"]] += 1
     idf = (np.log((len(rows) + 1) / (seen + 1)) + 1).astype(np.float32)
-    languages, centroids, least = [], [], 1.0
+    languages, centroids = [], []
     for lang in sorted({r["lang"] for r in rows}):
         vectors = np.zeros((0, DIMENSIONS), np.float32)
         own = [r["x"] for r in rows if r["lang"] == lang]
@@ -137,10 +165,41 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
             v[x["at"]] = (1 + np.log(np.array(x["n"]))) * idf[x["at"]]
             v /= np.linalg.norm(v)
         found = _clusters(vectors)
-        least = min(least, float((vectors @ found.T).max(axis=1).min()))
         languages += [lang] * len(found)
         centroids.append(found)
-    return Model(languages, np.vstack(centroids), idf, least / 2)
+    centroids = np.vstack(centroids)
+    return Model(languages, centroids, idf, _reach(sample, languages, centroids, idf))
+
+
+def _reach(sample: DataFrame, languages: list[str], centroids: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The least cosine accepted, by centroid and band, from a sample (lang, text)."""
+    own = {lang: [k for k, other in enumerate(languages) if other == lang] for lang in languages}
+
+    @F.arrow_udf("array<struct<k:int,band:int,cosine:double>>")
+    def measured(langs: pa.Array, texts: pa.Array) -> pa.Array:
+        out = []
+        for lang, text in zip(langs.to_pylist(), texts.to_pylist()):
+            near = []
+            for counts in _excerpts(text) if lang in own else []:
+                if counts is not None:
+                    cosines = centroids[own[lang]] @ _weights(counts, idf)
+                    near.append({"k": own[lang][int(np.argmax(cosines))], "band": band_of(counts), "cosine": float(cosines.max())})
+            out.append(near)
+        return pa.array(out, pa.list_(pa.struct([("k", pa.int32()), ("band", pa.int32()), ("cosine", pa.float64())])))
+
+    found = sample.select(F.inline(measured("lang", "text"))).collect()  # at most BANDS for each row of the sample
+    k, band, cosine = (np.array([r[c] for r in found]) for c in ("k", "band", "cosine"))
+    least = np.zeros((len(languages), BANDS))
+    for i, lang in enumerate(languages):
+        low = 0.0
+        for b in range(BANDS):
+            alike = cosine[(k == i) & (band == b)]
+            if len(alike) < ENOUGH:
+                alike = cosine[np.isin(k, own[lang]) & (band == b)]
+            if len(alike) >= ENOUGH:  # else as one band below
+                low = MARGIN * float(np.quantile(alike, OUTLIERS))
+            least[i, b] = low
+    return least
 
 
 def predict(text: Column, model: Model, spark) -> Column:
@@ -166,7 +225,7 @@ def predict(text: Column, model: Model, spark) -> Column:
 
 def held_out() -> Column:
     """The documents that are never trained on: crc32 of doc_id as text leaves 1 by 3."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
