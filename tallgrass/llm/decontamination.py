@@ -1,21 +1,23 @@
 """Operator 8: benchmark decontamination by templates.
 
-Both texts and benchmark items are turned into typed tokens: numbers become <num>, unit
-words after a number <unit>, names (capitalised words that don't open a sentence, joined
+Both texts and benchmark items are turned into typed tokens: numbers, also spelled English
+ones, become <num>, unit words after a number <unit>, names (capitalised words that don't open a sentence, joined
 when adjacent) <name>; all else is a word in lower case.  Windows of five tokens are hashed
 and joined with those of the benchmark by hash.  Windows of placeholders only say nothing
 and are left out.
 
 Matched windows of a document and an item are read along diagonals (position in the
 document minus position in the item).  On each diagonal the slots must be filled
-consistently: each value that fills slots in the item has one value in the document.  So a
-question with other numbers or names is caught, while text that only looks alike is not.
+consistently: each value that fills slots in the item has one value in the document; windows
+with a value that has several there don't count.  So a question with other numbers or names
+is caught, while text that only looks alike is not.
 A document holds an item if consistent diagonals cover 0.8 or more of the item's windows.
 
 A text need not be cut into windows if it has none of a few words without which no item can
-be covered; that test is exact.  Documents and items are read in two forms, with names as slots
-and with names as words, and held against each other form by form: a name is not always written
-as one, as in capitals or where a sentence opens.  Within a sentence the first word of an item
+be covered; that test is exact.  Documents and items are read in three forms, with names as slots,
+with names as words, and with the capitalised words that open sentences as names too, and held
+against each other form by form: a name is not always written as one, as in capitals, and one may
+open a sentence.  Other names that are written in lower case are not told from words.  Within a sentence the first word of an item
 may be part of a name, or a unit after a number; so items are also indexed as they read there,
 and the document must have that word in its place.  Items of fewer than five tokens are one window of all of them;
 documents are cut into windows of each length that an item has.
@@ -50,6 +52,21 @@ UNITS = frozenset(
     " second seconds meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters"
     " litre litres mile miles foot feet inch inches pound pounds ounce ounces dollar dollars euro euros cent cents percent % $ € £".split()
 )
+#: Spelled numbers.
+NUMBER_WORDS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen"
+    " twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
+)
+#: English words that open sentences and are no names.
+FUNCTION_WORDS = frozenset(
+    "a about after all although an and any are as at be because before but by can consider could did do does during each either every"
+    " few find for from give given had has have he her here his how however if in into is it its let many may might more most much must"
+    " my near no not now of on once one or other our over she should since so some such suppose than that the their them then there"
+    " these they this those though through thus to under until up upon was we were what when where whether which while who whom whose"
+    " why will with within without would yes yet you your".split()
+)
+#: Forms in which a text is read.
+AS_WORDS, AS_NAMES, OPENERS_TOO = range(3)
 _SYMBOLS = "%$€£"
 _TOKENS = re.compile(rf"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n{_SYMBOLS}]").findall
 #: The same for texts of the first Unicode blocks only, whose letters and digits are named one by one.
@@ -57,7 +74,7 @@ _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _LATIN_TOKENS = re.compile(rf"[{_LETTERS}\xb2\xb3\xb9\xbc-\xbe]+|[0-9]+(?:[.,][0-9]+)*|[.!?\n{_SYMBOLS}]").findall
 _BEYOND_LATIN = re.compile(f"[^\0-\u024f{_SYMBOLS}]").search
 #: Classes of raw tokens, held in the low bits of their hashes.
-_END, _NUMBER, _SYMBOL, _WORD, _UNIT, _CAPITAL, _CAPITAL_UNIT = range(7)
+_END, _NUMBER, _SYMBOL, _WORD, _UNIT, _CAPITAL, _CAPITAL_UNIT, _SPELLED = range(8)
 _LOW = np.uint64(7)
 _SLOTS = {"<num>": 8, "<unit>": 16, "<name>": 24}
 #: Raw tokens whose hashes a worker keeps.
@@ -74,6 +91,8 @@ class _Hashes(dict):
             kind = _END
         elif raw[0].isdigit():
             kind = _NUMBER
+        elif low in NUMBER_WORDS:
+            kind = _SPELLED
         elif raw in _SYMBOLS:
             kind = _SYMBOL
         elif low in UNITS:
@@ -95,6 +114,11 @@ class Template:
     hashes: np.ndarray
     first: np.ndarray
     last: np.ndarray
+    plain: np.ndarray  # the hashes, but those of spelled numbers as words
+
+    def within(self, size: int) -> "Template":
+        """As read in windows of `size` tokens: in those of fewer than WINDOW, spelled numbers are words."""
+        return self if size >= WINDOW else Template(self.raw, self.plain, self.first, self.last, self.plain)
 
     def value(self, i: int) -> str:
         """What fills slot i; empty for a word."""
@@ -108,8 +132,8 @@ class Template:
         return [(word, self.value(i)) for i, word in enumerate(words)]
 
 
-def template(text: str, names: bool = True) -> Template:
-    """The typed tokens of a text; with names=False names stay words."""
+def template(text: str, names: int = AS_NAMES) -> Template:
+    """The typed tokens of a text in one of the forms."""
     if len(_hashes) > MEMO_TOKENS:
         _hashes.clear()
     raw = (_TOKENS if _BEYOND_LATIN(text) else _LATIN_TOKENS)(text)
@@ -120,21 +144,28 @@ def template(text: str, names: bool = True) -> Template:
     if stray.any():
         coded, at, kind = coded[~stray], at[~stray], kind[~stray]
     before = np.concatenate([np.array([_END], np.int8), kind])[:-1]
-    unit = (before == _NUMBER) & ((kind == _UNIT) | (kind == _CAPITAL_UNIT) | (kind == _SYMBOL))
-    name = ((kind == _CAPITAL) | (kind == _CAPITAL_UNIT)) & (before != _END) & ~unit
-    name &= names
+    unit = ((before == _NUMBER) | (before == _SPELLED)) & ((kind == _UNIT) | (kind == _CAPITAL_UNIT) | (kind == _SYMBOL))
+    name = ((kind == _CAPITAL) | (kind == _CAPITAL_UNIT)) & ~unit & (names != AS_WORDS)
+    opens = before == _END
+    if names != OPENERS_TOO:
+        name &= ~opens
+    else:
+        (openers,) = np.nonzero(name & opens)
+        name[openers] = [raw[k].lower() not in FUNCTION_WORDS for k in at[openers]]
     hashes = coded & ~_LOW
     hashes[kind == _NUMBER] = _SLOTS["<num>"]
     hashes[unit] = _SLOTS["<unit>"]
     hashes[name] = _SLOTS["<name>"]
+    plain = hashes.copy()
+    hashes[kind == _SPELLED] = _SLOTS["<num>"]
     last = at.copy()
-    joined = name & np.concatenate([[False], name])[:-1]  # a name that goes on
+    joined = name & np.concatenate([[False], name & ~opens])[:-1]  # a name that goes on; an opener stands alone
     kept = (kind != _END) & ~joined
     (starts,) = np.nonzero(kept)
     if joined.any():
         runs = np.maximum.accumulate(np.where(~joined, np.arange(len(at)), 0))
         np.maximum.at(last, runs[joined], at[joined])
-    return Template(raw, hashes[starts], at[starts], last[starts])
+    return Template(raw, hashes[starts], at[starts], last[starts], plain[starts])
 
 
 def _in_word(text: str, i: int) -> bool:
@@ -188,7 +219,7 @@ def windows(tokens: Template, known: Known | None = None, size: int | None = Non
     size = size or min(WINDOW, len(tokens.hashes))
     if not size or size > len(tokens.hashes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), size
-    hashes = tokens.hashes
+    hashes = tokens.within(size).hashes
     n = len(hashes) - size + 1
     with np.errstate(over="ignore"):
         total = hashes[:n] + np.uint64(size)
@@ -205,9 +236,9 @@ _FOUND = "array<struct<hash:bigint,at:int,slots:array<string>>>"
 _FOUND_ARROW = pa.list_(
     pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("slots", pa.list_(pa.string()))])
 )
-_READ = "array<struct<names:boolean,hash:bigint,at:int,slots:array<string>>>"
+_READ = "array<struct<names:int,hash:bigint,at:int,slots:array<string>>>"
 _READ_ARROW = pa.list_(
-    pa.struct([("names", pa.bool_()), ("hash", pa.int64()), ("at", pa.int32()), ("slots", pa.list_(pa.string()))])
+    pa.struct([("names", pa.int32()), ("hash", pa.int64()), ("at", pa.int32()), ("slots", pa.list_(pa.string()))])
 )
 #: Before a slot that an item's first word opens; the word and what follows it in the slot come behind.
 _LEAD = "\x01"
@@ -215,6 +246,7 @@ _LEAD = "\x01"
 
 def _told(tokens: Template, known: Known | None = None, size: int | None = None, lead: bool = False) -> list[dict]:
     hashes, at, size = windows(tokens, known, size)
+    tokens = tokens.within(size)
 
     def value(i: int) -> str:
         return f"{_LEAD}{tokens.value(i)}" if lead and i == 0 else tokens.value(i)
@@ -225,16 +257,18 @@ def _told(tokens: Template, known: Known | None = None, size: int | None = None,
     ]
 
 
-def item_forms(text: str) -> list[tuple[bool, bool, Template]]:
-    """Whether names are slots, whether the first word stands in one, and the tokens: an item's different forms."""
-    found: list[tuple[bool, bool, Template]] = []
-    for names in (True, False):
+def item_forms(text: str) -> list[tuple[int, bool, Template]]:
+    """How names are read, whether the first word stands in one, and the tokens: an item's different forms."""
+    found: list[tuple[int, bool, Template]] = []
+    for names in (AS_NAMES, AS_WORDS, OPENERS_TOO):
         alone = template(text, names)
         found.append((names, False, alone))
+        if names == OPENERS_TOO:
+            continue
         seen = [alone.hashes.tolist()]
         for before in ("x ", "1 "):  # within a sentence; after a number
             within = template(before + text, names)
-            within = Template(within.raw, within.hashes[1:], within.first[1:], within.last[1:])
+            within = Template(within.raw, within.hashes[1:], within.first[1:], within.last[1:], within.plain[1:])
             if within.hashes.tolist() not in seen:
                 seen.append(within.hashes.tolist())
                 found.append((names, True, within))
@@ -248,6 +282,7 @@ def needed_words(tokens: Template, cover: float) -> list[str]:
     windows.  The longest are taken, as they tend to be rare.
     """
     _, at, size = windows(tokens)
+    tokens = tokens.within(size)
     words: dict[str, set[int]] = {}
     for i, (word, value) in enumerate(tokens.tokens()):
         if not value:
@@ -265,7 +300,7 @@ def needed_words(tokens: Template, cover: float) -> list[str]:
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """item_id, form, names, size, n, hash, at, slots: the windows of each item in each form, of `size` tokens; n of them in all."""
 
-    @F.arrow_udf(f"array<struct<form:int,names:boolean,size:int,found:{_FOUND}>>")
+    @F.arrow_udf(f"array<struct<form:int,names:int,size:int,found:{_FOUND}>>")
     def forms(texts: pa.Array) -> pa.Array:
         rows = []
         for text in texts:
@@ -273,7 +308,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                 {"form": i, "names": names, "size": min(WINDOW, len(t.hashes)), "found": _told(t, lead=lead)}
                 for i, (names, lead, t) in enumerate(item_forms(text.as_py() or ""))
             ])
-        return pa.array(rows, pa.list_(pa.struct([("form", pa.int32()), ("names", pa.bool_()), ("size", pa.int32()), ("found", _FOUND_ARROW)])))
+        return pa.array(rows, pa.list_(pa.struct([("form", pa.int32()), ("names", pa.int32()), ("size", pa.int32()), ("found", _FOUND_ARROW)])))
 
     items = benchmark.select("item_id", "text").where("item_id IS NOT NULL").distinct()
     return (
@@ -302,12 +337,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def of_text(text: str, held: Known | None) -> list[dict]:
-        tokens = template(text)
-        read = [{"names": True} | w for size in sizes for w in _told(tokens, held, size)]
-        if not (tokens.hashes == np.uint64(_SLOTS["<name>"])).any():  # it reads alike without names
-            return read + [w | {"names": False} for w in read]
-        tokens = template(text, names=False)
-        return read + [{"names": False} | w for size in sizes for w in _told(tokens, held, size)]
+        read = []
+        for names in (AS_NAMES, AS_WORDS, OPENERS_TOO):
+            tokens = template(text, names)
+            read += [{"names": names} | w for size in sizes for w in _told(tokens, held, size)]
+        return read
 
     @F.arrow_udf(_READ)
     def matched(texts: pa.Array) -> pa.Array:
@@ -324,7 +358,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
     diagonal = (*by_item, (F.col("place") - F.col("at")).alias("diagonal"))
     # one row for each diagonal and window; slots that are filled by one value each
     lines = pairs.select(*diagonal, "at", F.arrays_zip("slots", "filled").alias("fills")).distinct()
-    fills = lines.select(*by_item, "diagonal", F.inline("fills"))
+    fills = lines.select(*by_item, "diagonal", "at", F.inline("fills"))
     # where the item's first word opens the slot, the document's value must have it, and what follows fills the rest
     lead = F.col("slots").startswith(_LEAD)
     word = F.regexp_extract("slots", f"^{_LEAD}([^ ]*)", 1)
@@ -334,13 +368,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
     has = F.when(after == "", value.endswith(word)).otherwise(value.contains(inner))
     rest = F.when(after == "", "").otherwise(F.call_function("substring_index", value, inner, F.lit(-1)))
     fills = fills.select(
-        *by_item, "diagonal", F.when(lead, after).otherwise(F.col("slots")).alias("slot"),
+        *by_item, "diagonal", "at", F.when(lead, after).otherwise(F.col("slots")).alias("slot"),
         F.when(lead, rest).otherwise(F.col("filled")).alias("value"), (~lead | has).alias("has"),
     )
-    fills = fills.groupBy(*by_item, "diagonal", "slot")
-    unlike = fills.agg(F.min("value").alias("x"), F.max("value").alias("y"), F.bool_and("has").alias("has")).where("x <> y OR NOT has")
-    unlike = unlike.select(*by_item, "diagonal").distinct()
-    sound = lines.join(unlike, [*by_item, "diagonal"], "left_anti")
+    filled = [*by_item, "diagonal", "slot"]
+    unlike = fills.groupBy(*filled).agg(F.min("value").alias("x"), F.max("value").alias("y"), F.bool_and("has").alias("has"))
+    unlike = unlike.where("x <> y OR NOT has").select(*filled)
+    window = [*by_item, "diagonal", "at"]
+    unsound = fills.join(unlike, filled, "left_semi").select(*window).distinct()
+    sound = lines.join(unsound, window, "left_anti")
     covered = sound.groupBy(*by_item).agg((F.countDistinct("at") / F.col("n")).alias("coverage"))
     return (
         covered.where(F.col("coverage") >= cover)
