@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,7 +24,7 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir.
 
-    Only where the session names none (tests, local mode) a temporary folder is made.
+    Only where the session names none and all runs on one machine (tests) a temporary folder is made.
     """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None)
@@ -33,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     found = spark.sparkContext.getCheckpointDir()
     if found is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tallgrass-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -72,11 +75,12 @@ BROADCAST_IDS = 500_000
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of `docs`, with their columns, whose doc_id is not in gone(doc_id); null doc_ids stay."""
+    """The rows of `docs`, with their columns, whose doc_id is not in gone(doc_id); a null doc_id is one of them."""
     ids = cut(gone.select("doc_id").distinct())
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)  # else Spark joins by exchange
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+    ids = ids.withColumnRenamed("doc_id", "gone_id")
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti").select(*docs.columns)
 
 
 def not_kept(decisions: DataFrame) -> DataFrame:

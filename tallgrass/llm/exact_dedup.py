@@ -13,7 +13,8 @@ gathered in one task.
 Cases: null text counts as empty, so null, "" and " " differ only in that blank (null
 equals ""); very long texts are read whole; of equal texts the smallest doc_id stays;
 rows that repeat a doc_id with equal texts each count in group_size and share the decision
-of that doc_id; an empty table gives an empty result; further columns are ignored.
+of that doc_id; a row of null doc_id stays only where no row of its text has a doc_id (keep_id
+is then null); an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def _told(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (F.col("doc_id") == keep).alias("kept"),
+        F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.col("full").alias("text_sha256"),
     )
 
@@ -90,7 +91,7 @@ WITH t AS (
 ), g AS (
   SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm
 )
-SELECT t.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, t.doc_id = g.keep_id AS kept,
+SELECT t.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, t.doc_id IS NOT DISTINCT FROM g.keep_id AS kept,
        sha256(t.norm) AS text_sha256
 FROM t JOIN g ON t.norm = g.norm
 """
