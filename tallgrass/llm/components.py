@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, drop
 
+#: Links that a task takes at most where there are fewer than would fill the session's partitions.
+TASK_LINKS = 20_000
+LEAST_TASKS = 8
+
 
 def components(links: DataFrame) -> DataFrame:
     """node, root: for each node of links (a, b), the least node that it is linked to, at any remove.
@@ -18,15 +22,21 @@ def components(links: DataFrame) -> DataFrame:
     Nodes are of any ordered type.  Links may repeat, in either direction, or be loops.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    # rounds over few links are many small stages: a task each for TASK_LINKS of them, as edges never grow in number
+    tasks = max(LEAST_TASKS, edges.count() // TASK_LINKS + 1)
+
+    def cut_in(df: DataFrame) -> DataFrame:
+        return cut(df.coalesce(tasks))
+
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = cut_in(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u <> v").distinct())
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = cut_in(large.where("u <> v").distinct())
+        low = cut_in(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u")
-        after = cut(
+        after = cut_in(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v")))
             .where("u <> v")

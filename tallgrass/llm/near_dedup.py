@@ -12,18 +12,20 @@ M aligned shingles the similarity is M / (n + m - M); pairs of at least 0.8 are
 classes are the connected components of links.  The band is as wide as the insertions and
 deletions that such a similarity admits, so nothing is lost by it.
 
-Large groups.  Equal texts are one node.  In a bucket of equal sketches each text is first
-held against one leader (the least of the bucket), then, if classes are still apart,
-against another (the greatest).  What is then still in another class than the bucket's
-largest is held against every member of another class, so no link between texts of
-different classes is missed, while a bucket that is one class costs its size only.  These
-pairs are first held against a bound from the texts' parity bits, within the join; only
-pairs that pass it are made and aligned.
+Large groups.  Equal texts are one node.  In each round every bucket of equal sketches whose
+texts are in different classes draws LEADERS of them, and its texts are held against those
+only, which is linear in the bucket.  Rounds go on as long as they still join classes in
+number.  Then each text outside its bucket's largest class is held against the members of
+other classes, so no link between texts of different classes is missed; by that time such
+pairs are few, however dense a group is.  Pairs are first held against a bound from the
+texts' parity bits, within the join; only pairs that pass it are made and aligned.
 
 Cases: texts without a letter or digit are equal only to the same text (null equals the
 empty text); very long texts are aligned whole; the class id is the least doc_id of the
-class, and that document is kept; rows that repeat a doc_id are each returned; an empty
-table gives an empty result; further columns are ignored.
+class, and that document is kept; rows that repeat a doc_id are each returned; rows of null
+doc_id are classed as others, and such a row is kept, as one document, only where its class
+has no doc_id (class_id is then null); an empty table gives an empty result; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -45,6 +47,10 @@ SKETCHES = 12
 TAKE = 3
 #: Parity bits of a text's shingles, by which most pairs are told apart without their texts.
 BITS = 1_024
+#: Leaders that a bucket draws in each round.
+LEADERS = 4
+#: Rounds of leaders end when one links fewer pairs than this share of the texts in question.
+STILL = 0.02
 #: Similarity 0.8 = 4/5: M / (n + m - M) >= 4/5 is 9 M >= 4 (n + m).
 UP, DOWN = 4, 5
 #: Candidates whose texts may be told to a scan by broadcast; about 60 bytes each.
@@ -216,6 +222,9 @@ def _verified(firsts: pa.Array, seconds: pa.Array) -> pa.Array:
     return pa.array([similar(of(a.as_py() or ""), of(b.as_py() or "")) for a, b in zip(firsts, seconds)], pa.bool_())
 
 
+BUCKET = ["slot", "sketch"]
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, class_size, kept: one row for each row of `docs`."""
     texts = _keyed(docs)
@@ -223,8 +232,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     same = [F.first(c).alias(c) for c in ("n", "bits", "sketches")]  # alike in all rows of a key
     nodes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *same))
     buckets = nodes.select("key", F.posexplode("sketches").alias("slot", "sketch"))
-    shared = cut(buckets.groupBy("slot", "sketch").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("slot", "sketch"))
-    members = cut(buckets.join(shared, ["slot", "sketch"]))
+    shared = cut(buckets.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*BUCKET))
+    members = cut(buckets.join(shared, BUCKET))
     links = _links(docs, nodes, rows, members)
     found = cut(components(links))
     of_key = nodes.join(found.withColumnRenamed("node", "key"), "key", "left").select(
@@ -235,61 +244,81 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return (
         rows.select("doc_id", "key")
         .join(told, "key")
-        .select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+        .select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
     )
 
 
 def _links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
     """a, b: verified links that connect every class of the candidates' graph."""
-    bucket = ["slot", "sketch"]
     held = cut(_texts(docs, nodes, rows, members.select("key").distinct()))
+    signed = nodes.select("key", "n", "bits", "sketches")
     links = tried = None
-    for turn in ("least", "greatest", "all"):
-        if links is None:
-            apart = members.withColumn("root", F.col("key"))
-        else:
-            found = cut(components(links))
-            rooted = members.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-            rooted = cut(rooted)
-            split = cut(
-                rooted.groupBy(*bucket).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*bucket)
-            )
-            apart = cut(rooted.join(split, bucket))
-        if turn == "all":
-            sizes = apart.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("n"))
-            main = cut(sizes.groupBy(*bucket).agg(F.max_by("root", F.struct("n", "root")).alias("main")))
-            lead = apart.join(main, bucket).where("root <> main")  # with the bucket's main class
-        else:
-            first = F.min("key") if turn == "least" else F.max("key")
-            lead = apart.join(cut(apart.groupBy(*bucket).agg(first.alias("key"))), [*bucket, "key"])
-        more = ["main"] if turn == "all" else []
-        lead = cut(lead.select(*bucket, F.col("key").alias("lead"), F.col("root").alias("other"), *more))
-        if turn == "least":
-            pairs = apart.join(lead, bucket).where("root <> other").select("key", "lead")
-        else:
-            signed = nodes.select("key", "n", "bits", "sketches")
-            own = cut(apart.join(signed, "key"))
-            lead = cut(lead.join(signed.toDF("lead", "m", "lead_bits", "lead_sketches"), "lead"))
-            near = may_be_similar(F.col("n"), F.col("bits"), F.col("m"), F.col("lead_bits"))
-            if turn == "all":  # each pair once: by one of its ends, in the first of its buckets
-                alike = F.zip_with("sketches", "lead_sketches", lambda x, y: x == y)
-                near &= (F.col("root") == F.col("main")) | (F.col("key") < F.col("lead"))
-                near &= F.array_position(alike, F.lit(True)) == F.col("slot") + 1
-            pairs = own.join(lead, bucket).where((F.col("root") != F.col("other")) & near).select("key", "lead")
-        if turn == "least":  # of a text's leaders the one with which it shares most sketches
-            pairs = pairs.groupBy("key", "lead").agg(F.count(F.lit(1)).alias("n"))
-            pairs = pairs.groupBy("key").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
-        pairs = pairs.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
+    turn = 0
+    while True:
+        apart = cut(_apart(members, links).join(signed, "key"))
+        pairs = cut(_new(_with_leaders(apart, turn), tried))
         good = cut(_verify(pairs, held))
         links = good if links is None else links.unionByName(good)
         tried = pairs if tried is None else tried.unionByName(pairs)
+        turn += 1
+        if turn > 1 and good.count() <= STILL * apart.count():  # the first holds each text against one leader only
+            break
+    apart = cut(_apart(members, links).join(signed, "key"))
+    pairs = cut(_new(_with_others(apart), tried))
+    links = links.unionByName(cut(_verify(pairs, held)))
     drop(held)
     return links
 
 
+def _apart(members: DataFrame, links: DataFrame | None) -> DataFrame:
+    """key, slot, sketch, root: the members of the buckets that hold more than one class."""
+    if links is None:
+        return members.withColumn("root", F.col("key"))
+    found = cut(components(links)).withColumnRenamed("node", "key")
+    rooted = cut(members.join(found, "key", "left").withColumn("root", F.coalesce("root", "key")))
+    split = rooted.groupBy(*BUCKET).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*BUCKET)
+    return rooted.join(cut(split), BUCKET)
+
+
+def _near() -> Column:
+    return may_be_similar(F.col("n"), F.col("bits"), F.col("m"), F.col("lead_bits"))
+
+
+def _leading(apart: DataFrame) -> DataFrame:
+    named = {"key": "lead", "root": "other", "n": "m", "bits": "lead_bits", "sketches": "lead_sketches"}
+    return apart.withColumnsRenamed(named)
+
+
+def _with_leaders(apart: DataFrame, turn: int) -> DataFrame:
+    """a, b: texts and leaders of their buckets that may be similar; in the first turn one leader a text."""
+    draws = [F.min(F.struct(F.xxhash64("key", *BUCKET, F.lit(LEADERS * turn + i)), "key"))["key"] for i in range(LEADERS)]
+    drawn = apart.groupBy(*BUCKET).agg(F.array_distinct(F.array(*draws)).alias("keys")).select(*BUCKET, F.explode("keys").alias("key"))
+    lead = cut(_leading(apart.join(cut(drawn), [*BUCKET, "key"])))
+    pairs = apart.join(lead, BUCKET).where((F.col("root") != F.col("other")) & _near())
+    if not turn:  # the one with which the text shares most sketches
+        pairs = pairs.groupBy("key", "lead").agg(F.count(F.lit(1)).alias("times"))
+        pairs = pairs.groupBy("key").agg(F.max_by("lead", F.struct("times", "lead")).alias("lead"))
+    return pairs.select("key", "lead")
+
+
+def _with_others(apart: DataFrame) -> DataFrame:
+    """key, lead: all pairs of a bucket in different classes that may be similar, each once."""
+    sizes = apart.groupBy(*BUCKET, "root").agg(F.count(F.lit(1)).alias("size"))
+    main = cut(sizes.groupBy(*BUCKET).agg(F.max_by("root", F.struct("size", "root")).alias("main")))
+    lead = cut(_leading(apart.join(main, BUCKET).where("root <> main")))
+    # by one of its ends, in the first of its buckets
+    once = (F.col("root") == F.col("main")) | (F.col("key") < F.col("lead"))
+    alike = F.zip_with("sketches", "lead_sketches", lambda x, y: x == y)
+    once &= F.array_position(alike, F.lit(True)) == F.col("slot") + 1
+    return apart.join(lead, BUCKET).where((F.col("root") != F.col("other")) & _near() & once).select("key", "lead")
+
+
+def _new(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """a, b: the pairs key, lead that were not tried yet, in order, each once."""
+    pairs = pairs.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
+    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+
+
 def _verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """The pairs a, b whose texts are similar."""
     used = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
@@ -314,8 +343,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame, nodes: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """key, norm of the wanted keys, from one document of each."""
-    reps = cut(wanted.join(nodes.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id")))
-    few = docs.select("doc_id", "text").join(_bounded(reps.select("doc_id").distinct()), "doc_id", "left_semi")
-    found = _keyed(few).join(_bounded(reps), ["doc_id", "key"], "left_semi").select("key", "norm")
+    of = F.xxhash64("doc_id").alias("of")  # null ids too; of equal hashes a key may come twice, which does no harm
+    reps = cut(wanted.join(nodes.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id")).select("key", of))
+    few = docs.select("doc_id", "text", of).join(_bounded(reps.select("of").distinct()), "of", "left_semi")
+    found = _keyed(few).withColumn("of", of).join(_bounded(reps), ["of", "key"], "left_semi").select("key", "norm")
     repeated = rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return found if repeated.isEmpty() else found.dropDuplicates(["key"])

@@ -277,6 +277,20 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in unlabelled} == {"und"}
 
 
+def test_null_ids(spark):
+    """Rows of null doc_id have their part in every decision, and no decision is null."""
+    texts = [(None, "a b c d e f g"), (1, "a b c d e f g"), (None, "x y z"), (None, "x y z"), (2, "q")]
+    docs = docs_of(spark, texts)
+    got = [(r["doc_id"], r["keep_id"], r["kept"]) for r in exact_dedup.exact_groups(docs, digest_all=True).collect()]
+    expected = [(None, 1, False), (1, 1, True), (None, None, True), (None, None, True), (2, 2, True)]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    got = [(r["doc_id"], r["class_id"], r["kept"]) for r in near_dedup.near_groups(docs).collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    assert {r["held_out"] for r in language_id.identify(docs).where("doc_id IS NULL").collect()} == {False}
+    gone = spark.createDataFrame([(None,), (2,)], "doc_id long")
+    assert [r["doc_id"] for r in without(docs, gone).collect()] == [1]
+
+
 def test_alien_texts_are_rejected(spark):
     docs = docs_of(spark, [(i, f"the cat number {i} sat on the mat and looked at the dog") for i in range(60)])
     model = language_id.fit(docs)
@@ -408,6 +422,32 @@ def test_items_within_sentences(spark):
     assert got == {(1, 1), (2, 1), (4, 2), (5, 2), (7, 3), (8, 1)}
 
 
+def test_other_names_and_numbers(spark):
+    """Items with other names, also where sentences open, and other numbers, also spelled ones."""
+    rnd = random.Random(6)
+    people, numbers = "Alice Bob Carol Dan Erin Frank".split(), "three four 7 12 nine 2.5 ten 40".split()
+    things = "apples pens books coins shells cards".split()
+    shapes = [
+        "{a} has {x} {t} and eats {y} daily",
+        "{a} buys {x} {t} for {b}. How many {t} does {a} keep if {b} gives back {y} of them?",
+        "{a} and {b} share {x} {t} equally after losing {y} on the road",
+    ]
+
+    def made(shape, thing):
+        (a, b), (x, y) = rnd.sample(people, 2), rnd.sample(numbers, 2)
+        return shape.format(a=a, b=b, x=x, y=y, t=thing)
+
+    kinds = [(shape, thing) for shape in shapes for thing in things]
+    items = [(i, made(*kind)) for i, kind in enumerate(kinds)]
+    texts = [(10 * i + k, f"Some text. {made(*kind)} More text.") for i, kind in enumerate(kinds) for k in range(4)]
+    clean = [(1000 + i, f"Some text. {made(shape, 'lamps').replace('and', 'or').replace('share', 'sell')} More text.") for i, shape in enumerate(shapes)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs_of(spark, texts + clean), benchmark).collect()}
+    expected = {(i, i // 10) for i, _ in texts}
+    assert len(got & expected) >= 0.9 * len(expected)
+    assert not {i for i, _ in got} & {i for i, _ in clean[2:]}
+
+
 def test_templates():
     told = decontamination.template("Tom Smith has 3.5 km and Anna Lee 20 % of $ 7. Then 12 Days").tokens()
     assert [t for t, _ in told] == "tom <name> has <num> <unit> and <name> <num> <unit> of <num> then <num> <unit>".split()
