@@ -1,9 +1,13 @@
 """Operator 9: main text of web pages by minimum cut.
 
 A page is cut into blocks at block-level tags.  Each block gets two costs, of calling it
-boilerplate and of calling it content: from a logistic classifier over the block's own text
-(words, link share, sentence ends, heading), plus a fixed cost where an enclosing element
-says what it is (`article`, `nav`, class="sidebar" and the like).  The costs become the
+boilerplate and of calling it content: from the log-odds of a logistic classifier over the
+block's own text (words, link share, sentence ends, heading) plus those of a hint, which sums
+up what enclosing elements say (`article`, `nav`, class="sidebar" and the like).  The nearest
+one that says something counts whole, those around it half; a name that is a class of its own
+counts double, one within a longer class once, and modifiers ("has-sidebar") and the classes
+of body, html and main not at all, of an article only the first.  So neither hints nor text
+alone decide, and the cut weighs both with what stands beside a block.  The costs become the
 capacities to the two terminals.  Smoothness edges join each block with the next one and
 with the next one of the same parent element, the weaker the further apart they are in the
 DOM.  A maximum flow separates content from boilerplate at least cost.
@@ -35,7 +39,9 @@ from pyspark.sql import functions as F
 
 TRAIN_PAGES = 400
 LEAST_SEEDS = 200
-SAID = 8.0
+#: Log-odds of content for a hint of 1, and the largest hint.
+HINT = 4.0
+MOST_HINT = 2.0
 SMOOTH = 1.0
 #: Capacities are whole numbers, so that the flow is exact.
 UNITS = 1_000
@@ -52,6 +58,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 UNSEEN = frozenset(
     "script style noscript template title textarea iframe svg select button option object canvas audio video math datalist head form".split()
 )
+RAW = frozenset("script style title textarea iframe".split())
 SAYS_BOILERPLATE = frozenset("nav footer aside menu dialog".split())
 SAYS_CONTENT = frozenset("article main".split())
 BOILERPLATE_WORDS = frozenset(
@@ -61,6 +68,8 @@ BOILERPLATE_WORDS = frozenset(
     " skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split()
 )
 CONTENT_WORDS = frozenset("article articlebody content entry main post story text".split())
+MODIFIERS = frozenset("category format has hide is no show status tag type with without".split())
+UNSAYING = frozenset("body html main".split())
 
 _NAME, _QUIET = r"[a-zA-Z][^\s/>]*", r"""(?:[^<>"']++|"[^"<]*"|'[^'<]*')*+"""
 _MARKUP = re.compile(
@@ -68,6 +77,7 @@ _MARKUP = re.compile(
     re.S,
 )
 _SAYING = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_CLASSES = re.compile(r"[^\s\"']+").findall
 _WORDS = re.compile(r"[a-z0-9]+").findall
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _CLOSERS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in UNSEEN}
@@ -81,7 +91,7 @@ class Block:
     heading: bool
     parent: int  # number of the innermost container
     depth: int
-    says: int  # 1 content, -1 boilerplate, 0 nothing
+    says: float  # hint: above 0 content, below boilerplate
 
     def features(self) -> list[float]:
         words = self.text.count(" ") + 1
@@ -89,33 +99,46 @@ class Block:
         return [1.0, float(np.log1p(words)), self.linked / max(1, len(self.text)), min(1.0, ends / words), float(self.heading)]
 
 
-def _said(name: str, rest: str, within_content: bool) -> int:
+def _vote(name: str) -> float:
+    """What one class, id or role says."""
+    words = _WORDS(_CAMEL.sub(" ", name).lower())
+    if not words or words[0] in MODIFIERS:
+        return 0.0
+    if any(w in BOILERPLATE_WORDS for w in words):
+        return -2.0 if len(words) == 1 else -1.0
+    return 0.5 if any(w in CONTENT_WORDS for w in words) else 0.0
+
+
+def _said(name: str, rest: str, within_content: bool) -> float:
     """What an element says of its text."""
-    words: set[str] = set()
-    for value in _SAYING.findall(rest) if rest else ():
-        words.update(_WORDS(_CAMEL.sub(" ", value).lower()))
-    if name in SAYS_BOILERPLATE or words & BOILERPLATE_WORDS or name == "header" and not within_content:
-        return -1
-    return 1 if name in SAYS_CONTENT or words & CONTENT_WORDS else 0
+    own = -2.0 if name in SAYS_BOILERPLATE or name == "header" and not within_content else 1.0 if name in SAYS_CONTENT else 0.0
+    names = [n for value in (_SAYING.findall(rest) if rest and name not in UNSAYING else ()) for n in _CLASSES(value)]
+    votes = [_vote(n) for n in (names[:1] if name == "article" else names)]
+    return own + min(votes, default=0.0) if min(votes, default=0.0) < 0 else own + max(votes, default=0.0)
+
+
+def _hint(outer: float, said: float) -> float:
+    """The hint within an element, from that around it and what it says itself."""
+    return max(-MOST_HINT, min(MOST_HINT, said + outer / 2)) if said else outer
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page with text, in page order."""
     out: list[Block] = []
-    # open containers: name, number, what the elements so far say
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]
+    # open containers: name, number, the hint within
+    stack: list[tuple[str, int, float]] = [("", 0, 0.0)]
     open_names: dict[str, int] = {}
-    made, parts, linked, in_link, heading, own = 0, [], 0, False, False, 0
+    made, parts, linked, in_link, heading, own = 0, [], 0, False, False, 0.0
+    link_depth = 0  # containers around the open link
 
     def close() -> None:
         nonlocal parts, linked, heading, in_link, own
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                says = -1 if own < 0 or stack[-1][2] < 0 else max(own, stack[-1][2])
-                out.append(Block(text, min(linked, len(text)), heading, stack[-1][1], len(stack), says))
+                out.append(Block(text, min(linked, len(text)), heading, stack[-1][1], len(stack), _hint(stack[-1][2], own)))
             parts, linked = [], 0
-        heading, own = False, 0
+        heading, own = False, 0.0
 
     at, size = 0, len(page)
     while at < size:
@@ -138,22 +161,21 @@ def blocks(page: str) -> list[Block]:
                 if name == "form":
                     close()
                 closed = (_BODY if name == "head" else _CLOSERS[name]).search(page, at)
-                at = closed.end() if closed else size
+                if closed or name in RAW:  # of others a tag that nothing closes hides nothing
+                    at = closed.end() if closed else size
             continue
         if name == "a":
-            in_link = not ends
+            in_link, link_depth = not ends, len(stack)
         elif name == "br":
             parts.append(" ")
         elif name in BLOCKS:
-            close()
-            in_link = False
+            close()  # a link may hold blocks
             if name not in CONTAINERS:
                 if not ends:
                     heading, own = name in HEADINGS, _said(name, rest, stack[-1][2] > 0)
             elif not ends:
-                said, outer = _said(name, rest, stack[-1][2] > 0), stack[-1][2]
                 made += 1
-                stack.append((name, made, -1 if said < 0 or outer < 0 else max(said, outer)))
+                stack.append((name, made, _hint(stack[-1][2], _said(name, rest, stack[-1][2] > 0))))
                 open_names[name] = open_names.get(name, 0) + 1
             elif open_names.get(name):
                 while True:
@@ -161,6 +183,7 @@ def blocks(page: str) -> list[Block]:
                     open_names[top] -= 1
                     if top == name:
                         break
+                in_link = in_link and len(stack) >= link_depth
     close()
     return out
 
@@ -237,15 +260,18 @@ def smoothness(found: list[Block]) -> list[tuple[int, int, int]]:
     return edges
 
 
+def costs(found: list[Block], weights: np.ndarray) -> tuple[list[int], list[int]]:
+    """What it costs to call each block boilerplate, and content."""
+    odds = np.array([b.features() for b in found]) @ weights + HINT * np.array([b.says for b in found])
+    whole = lambda x: np.rint(np.minimum(x, 1_000) * UNITS).astype(int).tolist()
+    return whole(np.logaddexp(0, odds)), whole(np.logaddexp(0, -odds))
+
+
 def main_text(page: str | None, weights: np.ndarray) -> str:
     found = blocks(page) if page else []
     if not found:
         return ""
-    odds = np.array([b.features() for b in found]) @ weights
-    cost = np.logaddexp(0, odds) + np.array([SAID if b.says > 0 else 0 for b in found])
-    other = np.logaddexp(0, -odds) + np.array([SAID if b.says < 0 else 0 for b in found])
-    whole = lambda x: np.rint(np.minimum(x, 4 * SAID) * UNITS).astype(int).tolist()
-    kept = min_cut(whole(cost), whole(other), smoothness(found))
+    kept = min_cut(*costs(found, weights), smoothness(found))
     return "\n\n".join(b.text for b, keep in zip(found, kept) if keep)
 
 
@@ -253,25 +279,29 @@ def train(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> np.ndarray:
     """Weights of the classifier, by Newton's method from the PRIOR on a bounded sample of pages."""
     rows = pages.count()
     slots = 1 << 30
-    chosen = F.pmod(F.xxhash64("html"), F.lit(slots)) < min(slots, slots * train_pages // max(1, rows))
+    chosen = F.pmod(F.xxhash64("page_id", "html"), F.lit(slots)) < min(slots, slots * train_pages // max(1, rows))
 
     @F.arrow_udf("array<array<double>>")
     def seeds(texts: pa.Array) -> pa.Array:
-        kinds = [[[float(b.says > 0), *b.features()] for b in blocks(t.as_py() or "") if b.says][:200] for t in texts]
+        kinds = [[[float(b.says > 0), *b.features()] for b in blocks(t.as_py() or "") if b.says] for t in texts]
         return pa.array(kinds, pa.list_(pa.list_(pa.float64())))
 
-    sample = pages.where(F.col("html").isNotNull()).where(chosen).select(seeds("html").alias("x"))
-    data = [v for r in sample.limit(2 * train_pages).collect() for v in r["x"]]
-    table = np.array(sorted(data)) if data else np.zeros((0, 1 + len(PRIOR)))
-    y, x = table[:, 0], table[:, 1:]
-    if min(y.sum(), (1 - y).sum()) < LEAST_SEEDS:
+    # rows that repeat are chosen together, and are one here: so the hash bounds their number
+    sample = pages.where(F.col("html").isNotNull()).where(chosen).select("page_id", "html").distinct().select(F.explode(seeds("html")).alias("x"))
+    # blocks of equal features are one row with a weight; features are rounded, so a page of any length has a bounded number
+    rounded = F.transform("x", lambda v: F.round(v, 1))
+    data = sorted((*r["x"], r["n"]) for r in sample.groupBy(rounded.alias("x")).agg(F.count(F.lit(1)).alias("n")).collect())
+    table = np.array(data) if data else np.zeros((0, 2 + len(PRIOR)))
+    y, x, n = table[:, 0], table[:, 1:-1], table[:, -1]
+    if min(n @ y, n @ (1 - y)) < LEAST_SEEDS:
         return PRIOR
+    n = n * np.where(y > 0, 0.5 * n.sum() / (n @ y), 0.5 * n.sum() / (n @ (1 - y)))  # both kinds weigh alike
     weights = PRIOR.copy()
     for _ in range(20):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        pull = 0.01 * len(x)
-        slope = x.T @ (p - y) + pull * (weights - PRIOR)
-        bend = (x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(len(PRIOR))
+        pull = 0.01 * n.sum()
+        slope = x.T @ (n * (p - y)) + pull * (weights - PRIOR)
+        bend = (x * (n * p * (1 - p))[:, None]).T @ x + pull * np.eye(len(PRIOR))
         step = np.linalg.solve(bend, slope)
         weights = weights - step
         if np.abs(step).max() < 1e-9:

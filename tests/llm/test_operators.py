@@ -277,6 +277,38 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in unlabelled} == {"und"}
 
 
+def test_cut_decides_where_nothing_is_named():
+    """Short blocks go with what stands beside them, against the sign of their own costs."""
+    import numpy as np
+
+    long = "This sentence of a paragraph goes on for some more words. Another one follows it at once."
+    menu = "".join(f'<li><a href="/{i}">Section {i}</a></li>' for i in range(4))
+    page = f"<div><ul>{menu}<li>News of the whole week and of the day</li>{menu}</ul></div><div><p>{long}</p><p>Two</p><p>{long}</p></div>"
+    found = html_text.blocks(page)
+    assert all(b.says == 0 for b in found)
+    cost, other = html_text.costs(found, html_text.PRIOR)
+    signs = [b.text for b, c, o in zip(found, cost, other) if c > o]
+    assert signs == ["News of the whole week and of the day", long, long]
+    assert html_text.main_text(page, np.array(html_text.PRIOR)) == f"{long}\n\nTwo\n\n{long}"
+
+
+def test_names_of_outer_elements_do_not_hide_an_article():
+    long = "This sentence of a paragraph goes on for some more words. Another one follows it at once."
+    article = "".join(f"<p>{long}</p>" for _ in range(5))
+    rest = f'<nav><a href="/">Home</a></nav><div class="comments"><p>{long}</p></div><footer>Some one.</footer>'
+    for head, tail in (
+        ('<body class="home has-sidebar"><div>', "</div></body>"),
+        ('<body class="page header-fixed"><article>', "</article></body>"),
+        ('<body><article class="post category-social">', "</article></body>"),
+        ('<div class="page header-fixed"><article>', "</article></div>"),
+        ("<form><article>", "</article>"),
+    ):
+        page = f"<html>{head}{article}{rest}{tail}</html>"
+        assert html_text.main_text(page, html_text.PRIOR) == "\n\n".join([long] * 5), head
+    linked = html_text.blocks("<a href=x><div>all of it</div></a>")
+    assert [(b.text, b.linked) for b in linked] == [("all of it", 9)]
+
+
 def test_null_ids(spark):
     """Rows of null doc_id have their part in every decision, and no decision is null."""
     texts = [(None, "a b c d e f g"), (1, "a b c d e f g"), (None, "x y z"), (None, "x y z"), (2, "q")]
