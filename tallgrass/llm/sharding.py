@@ -8,13 +8,15 @@ No task sees all groups.  Groups of at least a `unit` (the total over `UNITS_PER
 units a shard) stand for themselves; there are at most total/unit of them.  The smaller
 ones are first differenced, in batches, into bundles whose size is a unit, a quarter of
 it, and so on down, so that coarse bundles carry the mass and fine ones close the gaps.
-Bundles and large groups, whose number is bounded by the parameters and not by the rows,
-are then differenced over the shards.
+Bundles and large groups are then differenced over the shards.  Large groups are bounded by
+the parameters; bundles are about LEVELS for each BATCH of small groups at least, so they grow
+with the groups, at a rate of 1 to 3,000, and are differenced in the driver.
 
 The law is `bytes`: sizes near equal.  A group larger than its share fills its shard alone.
 
 Cases: null text has no bytes and falls in the group of the empty text, crc32 0; very long
-texts are read whole; rows that repeat a doc_id each take a slot; an empty table gives an
+texts are read whole; rows that repeat a doc_id, or have none, each take a slot; ties of spread
+go by the order of keys; an empty table gives an
 empty result; shards beyond the number of groups stay empty; further columns are ignored.
 """
 
@@ -38,6 +40,8 @@ GROUPS_PER_TASK = 200_000
 MOST_TASKS = 1_024
 ROWS_PER_CHUNK = 50_000
 LEAST_CHUNKS = 64
+#: Bundles that may be told to all tasks by broadcast; 12 bytes each.
+BROADCAST_BUNDLES = 1_000_000
 
 
 def difference(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,8 +145,9 @@ def shards(docs: DataFrame, count: int = 40) -> DataFrame:
     large["shard"], bundles["shard"] = shard[: len(large)], shard[len(large) :]
     of_key = spark.createDataFrame(large[["key", "shard"]].astype({"shard": "int32"}), "key string, shard int")
     of_bundle = spark.createDataFrame(bundles[["bundle", "shard"]].astype({"shard": "int32"}), "bundle long, shard int")
-    # both tables' rows are bounded by the parameters above
-    placed = cut(bundled.join(F.broadcast(of_bundle), "bundle").select("key", "shard").unionByName(of_key))
+    if len(bundles) <= BROADCAST_BUNDLES:
+        of_bundle = F.broadcast(of_bundle)
+    placed = cut(bundled.join(of_bundle, "bundle").select("key", "shard").unionByName(of_key))
     chunks = max(LEAST_CHUNKS, n_rows // (count * ROWS_PER_CHUNK) + 1)
     dealt = cut(rows.join(placed, "key").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,6 +7,7 @@ hash, the leftmost of equals.  Equal windows have equal anchors, so windows can
 within one anchor's group.  Neighbouring windows with the same anchor form a fragment, of
 about 1.4 times `length` bytes.  Anchors that occur once are done with.  Fragments that
 occur twice or more are repeats as a whole, however often; counts tell, no list is kept.
+There, and for hot anchors below, 64-bit hashes stand for the bytes.
 What is left are anchors with several different fragments.
 
 Index.  These fragments, one of each kind, are brought together by anchor and indexed in

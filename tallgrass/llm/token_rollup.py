@@ -14,7 +14,8 @@ A batch is committed by the marker that Spark's writer leaves in its `totals` fo
 is written last.  A batch that is sent again after that is skipped; one that broke off
 before is not seen by any reader and is overwritten.  So each batch counts exactly once.
 
-Cases: within a batch the last change of a document (by `seq`) holds; deleting or revising
+Cases: within a batch the last change of a document (by `seq`, then by the greatest op, source,
+lang and tokens) holds; a null doc_id is a document of its own; deleting or revising
 an unknown document takes nothing away (a revision then inserts); null source, language or
 version form groups of their own; an empty batch commits no rows; rows that repeat a change
 count once; null or empty texts have 0 tokens and still count as a document; further
@@ -69,7 +70,8 @@ class Rollup:
         if batch in self.batches():
             return False
         key = [F.col("doc_id"), F.col("version")]
-        last = changes.groupBy(*key).agg(F.max_by(F.struct("op", "source", "lang", "tokens"), "seq").alias("now"))
+        now = F.struct("op", "source", "lang", "tokens")
+        last = changes.groupBy(*key).agg(F.max_by(now, F.struct("seq", now)).alias("now"))
         before = self.held().select(*key, F.struct("source", "lang", "tokens").alias("was"))
         both = last.join(before, (last.doc_id.eqNullSafe(before.doc_id)) & (last.version.eqNullSafe(before.version)), "left")
         plus = F.when(F.col("now.op") != "delete", _signed("now", 1))
