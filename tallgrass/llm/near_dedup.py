@@ -32,6 +32,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -228,22 +229,24 @@ BUCKET = ["slot", "sketch"]
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, class_size, kept: one row for each row of `docs`."""
     texts = _keyed(docs)
-    rows = cut(texts.select("doc_id", "key", _signed("norm").alias("x")).select("doc_id", "key", "x.*"))
-    same = [F.first(c).alias(c) for c in ("n", "bits", "sketches")]  # alike in all rows of a key
-    nodes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *same))
+    rows = cut(texts.select("doc_id", "text_key", _signed("norm").alias("x")).select("doc_id", "text_key", "x.*"))
+    same = [F.first(c).alias(c) for c in ("n", "bits", "sketches")]  # alike in all rows of a text
+    alone = rows.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *same)
+    # a node is a number from here on, fixed as it is written: least ones are then found without a sort
+    nodes = cut(alone.withColumn("key", F.monotonically_increasing_id()))
     buckets = nodes.select("key", F.posexplode("sketches").alias("slot", "sketch"))
     shared = cut(buckets.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*BUCKET))
     members = cut(buckets.join(shared, BUCKET))
     links = _links(docs, nodes, rows, members)
     found = cut(components(links))
     of_key = nodes.join(found.withColumnRenamed("node", "key"), "key", "left").select(
-        "key", F.coalesce("root", "key").alias("root"), "rep", "copies"
+        "text_key", F.coalesce("root", "key").alias("root"), "rep", "copies"
     )
     classes = cut(of_key.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size")))
-    told = cut(of_key.select("key", "root").join(classes, "root").select("key", "class_id", "class_size"))
+    told = cut(of_key.select("text_key", "root").join(classes, "root").select("text_key", "class_id", "class_size"))
     return (
-        rows.select("doc_id", "key")
-        .join(told, "key")
+        rows.select("doc_id", "text_key")
+        .join(told, "text_key")
         .select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
     )
 
@@ -291,9 +294,10 @@ def _leading(apart: DataFrame) -> DataFrame:
 
 def _with_leaders(apart: DataFrame, turn: int) -> DataFrame:
     """a, b: texts and leaders of their buckets that may be similar; in the first turn one leader a text."""
-    draws = [F.min(F.struct(F.xxhash64("key", *BUCKET, F.lit(LEADERS * turn + i)), "key"))["key"] for i in range(LEADERS)]
-    drawn = apart.groupBy(*BUCKET).agg(F.array_distinct(F.array(*draws)).alias("keys")).select(*BUCKET, F.explode("keys").alias("key"))
-    lead = cut(_leading(apart.join(cut(drawn), [*BUCKET, "key"])))
+    draws = [F.xxhash64("key", *BUCKET, F.lit(LEADERS * turn + i)) for i in range(LEADERS)]
+    drawn = apart.groupBy(*BUCKET).agg(*[F.min(d).alias(f"draw_{i}") for i, d in enumerate(draws)])
+    is_drawn = reduce(Column.__or__, [d == F.col(f"draw_{i}") for i, d in enumerate(draws)])
+    lead = cut(_leading(apart.join(cut(drawn), BUCKET).where(is_drawn).select(apart.columns)))
     pairs = apart.join(lead, BUCKET).where((F.col("root") != F.col("other")) & _near())
     if not turn:  # the one with which the text shares most sketches
         pairs = pairs.groupBy("key", "lead").agg(F.count(F.lit(1)).alias("times"))
@@ -335,17 +339,18 @@ def _bounded(keys: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, key, norm: the words of each text, and a hash of them (of the text itself if it has none)."""
+    """doc_id, text_key, norm: the words of each text, and a hash of them (of the text itself if it has none)."""
     norm = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("raw"), words_of().alias("norm"))
     told = F.when(F.col("norm") != "", F.col("norm")).otherwise(F.concat(F.lit("\0"), "raw"))
-    return norm.select("doc_id", F.substring(F.unhex(F.sha2(told, 256)), 1, 16).alias("key"), "norm")
+    return norm.select("doc_id", F.substring(F.unhex(F.sha2(told, 256)), 1, 16).alias("text_key"), "norm")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """key, norm of the wanted keys, from one document of each."""
     of = F.xxhash64("doc_id").alias("of")  # null ids too; of equal hashes a key may come twice, which does no harm
-    reps = cut(wanted.join(nodes.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id")).select("key", of))
+    reps = wanted.join(nodes.select("key", "text_key", "rep"), "key").withColumnRenamed("rep", "doc_id")
+    reps = cut(reps.select("key", "text_key", of))
     few = docs.select("doc_id", "text", of).join(_bounded(reps.select("of").distinct()), "of", "left_semi")
-    found = _keyed(few).withColumn("of", of).join(_bounded(reps), ["of", "key"], "left_semi").select("key", "norm")
-    repeated = rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = _keyed(few).withColumn("of", of).join(_bounded(reps), ["of", "text_key"]).select("key", "norm")
+    repeated = rows.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return found if repeated.isEmpty() else found.dropDuplicates(["key"])
