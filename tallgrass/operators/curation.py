@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 ORIGINAL, SYNTHETIC = "original", "synthetic"
 ISOLATED, GAP, UNRELATED, CROSS_PARENT, QUALITY = 0.75, 0.75, 0.65, 0.75, 0.95
@@ -32,6 +33,11 @@ def gaps(tools: DataFrame, edges: DataFrame, threshold: float = GAP, least: int
     return found.select("tool_name", "close", F.greatest(F.lit(0), least - F.col("close")).cast("long").alias("missing")).where("missing > 0")
 
 
+def gap_total(found: DataFrame) -> DataFrame:
+    """tools, missing: how many tools have gaps, and what they lack together."""
+    return found.agg(F.count(F.lit(1)).alias("tools"), F.coalesce(F.sum("missing"), F.lit(0)).cast("long").alias("missing"))
+
+
 def clashing(synthetic: DataFrame, original: DataFrame) -> DataFrame:
     """Rule 1: synthetic tools with the name of an original one."""
     return synthetic.join(original.select("tool_name").distinct(), "tool_name", "left_semi")
@@ -79,12 +85,41 @@ def crossing_greedy(synthetic: DataFrame, edges: DataFrame, threshold: float = C
     return pairs.groupBy("one").applyInPandas(scan, f"tool_name {kind}")
 
 
+def judged(synthetic: DataFrame, original: DataFrame, edges: DataFrame, unrelated_at=UNRELATED, cross_at=CROSS_PARENT, mode="greedy") -> DataFrame:
+    """The synthetic tools with `rule`: the first rule (1 to 3) that a tool breaks, or 0."""
+    marked = lambda df, rule: df.select("tool_name").distinct().withColumn(f"rule{rule}", F.lit(rule))
+    one = synthetic.join(marked(clashing(synthetic, original), 1), "tool_name", "left")
+    two = one.join(marked(unrelated(one.where("rule1 IS NULL").drop("rule1"), edges, unrelated_at), 2), "tool_name", "left")
+    last = crossing_greedy if mode == "greedy" else crossing_set
+    left = two.where("rule1 IS NULL AND rule2 IS NULL").drop("rule1", "rule2")
+    three = two.join(marked(last(left, edges, cross_at), 3), "tool_name", "left")
+    return three.withColumn("rule", F.coalesce("rule1", "rule2", "rule3", F.lit(0))).drop("rule1", "rule2", "rule3")
+
+
+def gold_report(original: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of counts before, by rule, and after, from the original tools and `judged` ones."""
+    by_rule = [F.count_if(F.col("rule") == n).alias(f"rule{n}") for n in (1, 2, 3)]
+    counts = found.agg(F.count(F.lit(1)).alias("synthetic"), *by_rule, F.count_if(F.col("rule") == 0).alias("kept"))
+    both = original.agg(F.count(F.lit(1)).alias("original")).join(counts, F.lit(True))  # one row a side
+    return both.withColumn("gold", F.col("original") + F.col("kept"))
+
+
+def filled(edges: DataFrame, synthetic: DataFrame, most: int = 5) -> DataFrame:
+    """tool_name, shown, kind, place: a tool's neighbours by rank, then the tools made from it, `most` at most.
+
+    A tool that is among the neighbours is not shown again; synthetic ones come in the order of
+    column ord.
+    """
+    near = edges.where(F.col("rank") <= most).select("tool_name", F.col("neighbor_name").alias("shown"), F.lit("neighbor").alias("kind"), F.col("rank").cast("long").alias("at"))
+    made = synthetic.where("parent IS NOT NULL").select(F.col("parent").alias("tool_name"), F.col("tool_name").alias("shown"), F.lit("synthetic").alias("kind"), F.col("ord").cast("long").alias("at"))
+    made = made.join(near.select("tool_name", "shown"), ["tool_name", "shown"], "left_anti")
+    order = Window.partitionBy("tool_name").orderBy("kind", "at", "shown")
+    return near.unionByName(made).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("at")
+
+
 def gold(synthetic: DataFrame, original: DataFrame, edges: DataFrame, unrelated_at=UNRELATED, cross_at=CROSS_PARENT, mode="greedy") -> DataFrame:
     """Original tools and the synthetic ones that pass all three rules."""
-    one = synthetic.join(clashing(synthetic, original).select("tool_name"), "tool_name", "left_anti")
-    two = one.join(unrelated(one, edges, unrelated_at), "tool_name", "left_anti")
-    last = crossing_greedy if mode == "greedy" else crossing_set
-    three = two.join(last(two, edges, cross_at), "tool_name", "left_anti")
+    three = judged(synthetic, original, edges, unrelated_at, cross_at, mode).where("rule = 0")
     keep = original.select("tool_name", F.lit(ORIGINAL).alias("tool_type"))
     return keep.unionByName(three.select("tool_name", F.lit(SYNTHETIC).alias("tool_type")))
 

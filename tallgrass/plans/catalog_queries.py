@@ -65,6 +65,16 @@ def gap_counts(spark, d):
     return curation.gaps(_tools(spark, d), _edges(spark, d), GAP)
 
 
+def gap_total(spark, d):
+    return curation.gap_total(gap_counts(spark, d))
+
+
+def dash_fill(spark, d):
+    """Two neighbours of each tool, then synthetic tools made from it, up to five."""
+    found = curation.filled(_edges(spark, d).where("rank <= 2"), _split(spark, d)[0])
+    return found.withColumn("place", F.col("place").cast("long"))
+
+
 def quality_report(spark, d):
     return curation.quality(_edges(spark, d), QUALITY)
 
@@ -104,6 +114,11 @@ def gold_pipeline_set(spark, d):
     return curation.gold(*_split(spark, d), _edges(spark, d), UNRELATED, CROSS, mode="set")
 
 
+def gold_report(spark, d):
+    synthetic, original = _split(spark, d)
+    return curation.gold_report(original, curation.judged(synthetic, original, _edges(spark, d), UNRELATED, CROSS, mode="set"))
+
+
 def dedupe_first(spark, d):
     return relational.first_by(_t(spark, d, "part").select("p_name", "p_partkey", "p_brand"), ["p_name"], ["p_partkey"])
 
@@ -201,6 +216,7 @@ QUERIES = {
         knn_topk, knn_typed, isolated, gap_counts, quality_report, dash_warnings, gold_rule1, gold_rule2, gold_rule3_set, gold_rule3_greedy,
         gold_pipeline, gold_pipeline_set, dedupe_first, dedupe_last, union_tagged, except_by_name, chunk_groups, topk_distinct_name,
         offset_limit, resume_anti, run_ids_semi, positional_join, upsert_latest, dash_stats, kmeans_step, kmeans, retrieve_topk,
+        gap_total, dash_fill, gold_report,
     )
 }
 
@@ -227,6 +243,23 @@ SQL = {
     + f""", c AS (SELECT tool_name, count(*) AS n FROM edges WHERE raw >= {GAP} GROUP BY 1)
 SELECT t.tool_name, CAST(coalesce(n, 0) AS BIGINT) AS close, CAST(5 - coalesce(n, 0) AS BIGINT) AS missing
 FROM tools t LEFT JOIN c USING (tool_name) WHERE coalesce(n, 0) < 5""",
+    "gap_total": _KNN
+    + f""", c AS (SELECT tool_name, count(*) AS n FROM edges WHERE raw >= {GAP} GROUP BY 1)
+SELECT count(*) AS tools, CAST(coalesce(sum(5 - coalesce(n, 0)), 0) AS BIGINT) AS missing
+FROM tools t LEFT JOIN c USING (tool_name) WHERE coalesce(n, 0) < 5""",
+    "dash_fill": _KNN
+    + """, near AS (SELECT tool_name, neighbor_name AS shown, 'neighbor' AS kind, rank AS pos FROM edges WHERE rank <= 2),
+made AS (SELECT parent AS tool_name, tool_name AS shown, 'synthetic' AS kind, tool_name AS pos FROM tools t WHERE tool_type = 'synthetic'
+         AND NOT EXISTS (SELECT 1 FROM near n WHERE n.tool_name = t.parent AND n.shown = t.tool_name)),
+x AS (SELECT *, row_number() OVER (PARTITION BY tool_name ORDER BY kind, pos, shown) AS place FROM (SELECT * FROM near UNION ALL SELECT * FROM made))
+SELECT tool_name, shown, kind, place FROM x WHERE place <= 5""",
+    "gold_report": _KNN
+    + _RULES
+    + ", two AS (SELECT * FROM syn WHERE tool_name NOT IN (SELECT tool_name FROM r2))"
+    + _cross("two")
+    + """, n AS (SELECT (SELECT count(*) FROM tools WHERE tool_type = 'original') AS original, (SELECT count(*) FROM syn) AS synthetic,
+0::BIGINT AS rule1, (SELECT count(*) FROM r2) AS rule2, (SELECT count(*) FROM r3) AS rule3)
+SELECT *, synthetic - rule2 - rule3 AS kept, original + synthetic - rule2 - rule3 AS gold FROM n""",
     "quality_report": _KNN
     + f"""SELECT count(*) AS edges, count(*) FILTER (tool_type <> neighbor_type AND raw > {QUALITY} AND rank <= 2) AS cross_type,
 count(*) FILTER (tool_type = 'synthetic' AND neighbor_type = 'original' AND raw > {QUALITY} AND rank <= 3) AS copies,

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from tallgrass.functions import schemas
-from tallgrass.operators import dag, dialogue, relational, retrieval, vectors
+from tallgrass.operators import calls, dag, dialogue, relational, retrieval, vectors
 
 #: Fixtures of answers and gold answers, with the JSON schema of a small tool.
 CASES = [
@@ -223,12 +223,53 @@ def transcript_clean(spark, d):
     return whole.select("conv_id", F.array_join(F.transform(kept, lambda m: m["turn"].cast("string")), ",").alias("turns"))
 
 
+def call_forms(spark, d):
+    """Each event as one call in each form."""
+    text = F.lit(None).cast("string")
+    none = F.lit(None).cast("struct<name:string,arguments:string>")
+    simple = F.struct(text.alias("id"), F.col("event_type").alias("name"), F.col("props").alias("arguments"), none.alias("function"))
+    function = F.struct(F.lit("log").alias("name"), F.lit("[]").alias("arguments")).alias("function")
+    whole = F.struct(F.concat(F.lit("c"), F.col("event_id")).alias("id"), text.alias("name"), text.alias("arguments"), function)
+    bare = F.struct(text.alias("id"), F.lit("noop").alias("name"), text.alias("arguments"), none.alias("function"))
+    found = calls.normalised(F.array(simple, whole, bare))
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.posexplode(found).alias("place", "call"))
+    return rows.select("event_id", F.col("place").cast("long").alias("place"), "call.id", "call.function.name", "call.function.arguments")
+
+
+def call_pairs(spark, d):
+    """Line items as calls: those of odd numbers as predicted beside all as gold ones, with whether they are equal."""
+    items = spark.read.parquet(f"{d}/lineitem.parquet")
+    text = lambda c: F.concat(F.col(c), F.lit(":"), F.col("l_linenumber"))
+    gold = items.select("l_orderkey", F.col("l_returnflag").alias("name"), text("l_linestatus").alias("arguments"))
+    predicted = items.where("l_linenumber % 2 = 1").select("l_orderkey", F.col("l_returnflag").alias("name"), text("l_linestatus").alias("arguments"))
+    found = calls.paired(predicted, gold, ["l_orderkey"])
+    same = F.col("predicted").eqNullSafe(F.col("gold"))
+    return found.select("l_orderkey", "place", F.col("predicted.name").alias("predicted"), F.col("gold.name").alias("gold"), same.alias("same"))
+
+
+def message_ids(spark, d):
+    """Turns as messages: the assistant's make none to two calls, the user's answer one."""
+    role = F.when(F.col("role") == "user", "tool").otherwise(F.col("role")).alias("role")
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", role, (F.col("turn") % 3).alias("calls"))
+    found = calls.with_call_ids(rows, "conv_id", "turn")
+    return found.select("conv_id", "turn", "role", F.array_join("ids", ",").alias("ids"))
+
+
+def param_split(spark, d):
+    """The words of a part's name, by whether its type has them, or they are long."""
+    names = F.split("p_name", " ")
+    needed = F.concat(F.split(F.lower("p_type"), " "), F.filter(names, lambda x: F.length(x) > 5))
+    found = calls.split_parameters(names, needed)
+    rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", found.alias("x"))
+    return rows.select("p_partkey", F.array_join("x.required", ",").alias("required"), F.array_join("x.optional", ",").alias("optional"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         last_user_query, context_query, context_query_tail, instruct_query, rerank_sanitize, schema_fix, schema_validate, arg_check_flat,
         arg_check_nested, answer_compare, str_similarity, plan_rules, tool_rules, dag_indegree, dag_levels, dag_paths, step_match,
-        params_label, task_paths, transcript_clean,
+        params_label, task_paths, transcript_clean, call_forms, call_pairs, message_ids, param_split,
     )
 }
 
@@ -281,4 +322,23 @@ UNION ALL SELECT a.x || '>' || b.x || '>' || c.x FROM t a, t b, t c UNION ALL SE
     "transcript_clean": """SELECT conv_id, coalesce(string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) FILTER (
 turn % 5 NOT IN (2, 3) AND NOT (conv_id % 2 = 0 AND turn % 5 = 1 AND turn + 2 <= last)), '') AS turns
 FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) GROUP BY 1""",
+    "call_forms": f"""SELECT event_id, 0::BIGINT AS place, '{calls.ID_PREFIX}0' AS id, event_type AS name, props AS arguments FROM events
+UNION ALL SELECT event_id, 1, 'c' || event_id, 'log', '[]' FROM events
+UNION ALL SELECT event_id, 2, '{calls.ID_PREFIX}2', 'noop', '{{}}' FROM events""",
+    "call_pairs": """WITH g AS (SELECT l_orderkey, l_linenumber, l_returnflag AS name, l_linestatus || ':' || l_linenumber AS arguments FROM lineitem),
+a AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY name, arguments) - 1 AS place FROM g WHERE l_linenumber % 2 = 1),
+b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY name, arguments) - 1 AS place FROM g)
+SELECT l_orderkey, place, a.name AS predicted, b.name AS gold,
+a.name IS NOT DISTINCT FROM b.name AND a.arguments IS NOT DISTINCT FROM b.arguments AS same FROM a FULL JOIN b USING (l_orderkey, place)""",
+    "message_ids": f"""WITH c AS (SELECT conv_id, turn, unnest(range(turn % 3)) AS call FROM conversations WHERE role = 'assistant'),
+i AS (SELECT *, '{calls.ID_PREFIX}' || substr(sha256(conv_id || '|' || turn || '|' || call), 1, {calls.ID_LENGTH}) AS id,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn, call) AS nth FROM c),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations WHERE role = 'user'),
+f AS (SELECT conv_id, turn, string_agg(id, ',' ORDER BY call) AS ids FROM i GROUP BY 1, 2
+      UNION ALL SELECT t.conv_id, t.turn, id FROM t JOIN i ON i.conv_id = t.conv_id AND i.nth = t.nth AND i.turn < t.turn)
+SELECT conv_id, turn, CASE role WHEN 'user' THEN 'tool' ELSE role END AS role, coalesce(ids, '') AS ids
+FROM conversations LEFT JOIN f USING (conv_id, turn)""",
+    "param_split": """WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS names, string_split(lower(p_type), ' ') AS kinds FROM part)
+SELECT p_partkey, array_to_string(list_filter(names, lambda x: length(x) > 5 OR list_contains(kinds, x)), ',') AS required,
+array_to_string(list_filter(names, lambda x: NOT (length(x) > 5 OR list_contains(kinds, x))), ',') AS optional FROM p""",
 }
