@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, html_text, language_id, near_dedup, sharding, suffix_dedup, token_rollup, url_filter
+from . import bpe, decontamination, exact_dedup, html_text, language_id, near_dedup, sharding, suffix_dedup, token_alignment, token_rollup, url_filter
 from .common import cut, shared_dir, small_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -128,6 +128,17 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text of `documents` under two vocabularies, aligned, with the counts of linked ids."""
+    small_batches(spark)
+    paths = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    aligned = token_alignment.align(table(spark, sf_dir, "documents"), *paths)
+    digest = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    told = aligned.select("doc_id", "n_a", "n_b", "n_groups", "a", "b", "links", digest)
+    found = token_alignment.scored(told).withColumnRenamed("n_best_b", "n_best")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -140,6 +151,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_html_text": op9_html_text,
         "op10_token_rollup": op10_token_rollup,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
