@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, html_text, language_id, near_dedup, sharding, spelling, suffix_dedup, token_alignment, token_rollup, url_filter
+from . import bpe, decontamination, exact_dedup, html_text, language_id, near_dedup, pii, sharding, spelling, suffix_dedup, token_alignment, token_rollup, url_filter
 from .common import cut, shared_dir, small_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -128,6 +128,13 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text of `documents`."""
+    small_batches(spark)
+    field = pii.fit(pii.labelled(spark))
+    return pii.digests(pii.personal_data(table(spark, sf_dir, "documents"), field))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of all `documents` with their near words, forms and roots."""
     small_batches(spark)
@@ -157,6 +164,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_html_text": op9_html_text,
         "op10_token_rollup": op10_token_rollup,
+        "op11_pii": op11_pii,
         "op12_spelling": op12_spelling,
         "op13_token_alignment": op13_token_alignment,
     }

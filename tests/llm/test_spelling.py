@@ -7,7 +7,6 @@ from collections import Counter
 from itertools import combinations
 
 import pytest
-from pyspark.sql import functions as F
 
 from tallgrass.llm import queries, spelling
 from tallgrass.llm.common import cut
