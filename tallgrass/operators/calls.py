@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallgrass.operators import relational
 
@@ -63,23 +64,60 @@ def paired(predicted: DataFrame, gold: DataFrame, key: Sequence[str]) -> DataFra
     return sides[0].join(sides[1], [*key, "place"], "full")
 
 
+def queue_places(messages: DataFrame, conversation: str = "conversation", turn: str = "turn") -> DataFrame:
+    """The rows with `pushed`, the calls asked before the row, and `taken`, the place of the call that a tool message answers.
+
+    A conversation's calls wait in a queue, first in, first out.  A tool message takes the first one; if none waits,
+    it takes nothing (null) and the queue goes on from empty.  With s the running sum of calls made less tool messages,
+    the queue has been found empty as often as s has fallen to a new least value below 0, so a message's place is the
+    number of tool messages up to it, less those misses.  Sums and least values run within ranges of the table and are
+    carried from range to range, so that one long conversation is no single task.  (conversation, turn) is a key.
+    """
+    made = F.when(F.col("role") == "assistant", F.greatest(F.coalesce("calls", F.lit(0)), F.lit(0))).otherwise(F.lit(0)).cast("long")
+    tool = F.coalesce(F.col("role") == "tool", F.lit(False)).cast("long")
+    ranged = messages.repartitionByRange(conversation, turn).withColumn("__part", F.spark_partition_id())
+    rows = relational.settled(ranged.withColumn("__made", made).withColumn("__tool", tool))
+    inside = Window.partitionBy("__part", conversation).orderBy(turn)
+    upto, before = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__sum", F.sum(F.col("__made") - F.col("__tool")).over(upto))
+    rows = rows.withColumn("__least", F.min("__sum").over(upto)).withColumn("__least_before", F.min("__sum").over(before))
+    rows = rows.withColumn("__pushed", F.coalesce(F.sum("__made").over(before), F.lit(0))).withColumn("__tools", F.sum("__tool").over(upto))
+    # one row for each conversation and range; few conversations are in several ranges
+    totals = rows.groupBy("__part", conversation).agg(
+        F.sum("__made").alias("made"), F.sum("__tool").alias("tools"), F.min("__least").alias("least")
+    )
+    earlier = Window.partitionBy(conversation).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("__made0", F.coalesce(F.sum("made").over(earlier), F.lit(0))).withColumn("__tools0", F.coalesce(F.sum("tools").over(earlier), F.lit(0)))
+    totals = totals.withColumn("__low", F.col("__made0") - F.col("__tools0") + F.col("least"))
+    carried = totals.select(
+        F.col("__part").alias("__p"), F.col(conversation).alias("__c"), "__made0", "__tools0", F.least(F.lit(0), F.coalesce(F.min("__low").over(earlier), F.lit(0))).alias("__least0")
+    )
+    met = rows.join(carried, (F.col("__part") == F.col("__p")) & F.col(conversation).eqNullSafe(F.col("__c")))
+    start = F.col("__made0") - F.col("__tools0")
+    least_before = F.least(F.col("__least0"), F.coalesce(start + F.col("__least_before"), F.lit(0)))
+    least = F.least(F.col("__least0"), start + F.col("__least"))
+    missed = least < least_before
+    place = F.when((F.col("__tool") == 1) & ~missed, F.col("__tools0") + F.col("__tools") + least - 1)
+    return met.select(*messages.columns, (F.col("__made0") + F.col("__pushed")).alias("pushed"), place.alias("taken"))
+
+
 def with_call_ids(messages: DataFrame, conversation: str = "conversation", turn: str = "turn") -> DataFrame:
     """conversation, turn, role, ids: ids of a message's calls, or of the call that a tool message answers.
 
     `messages` has role and calls, the number of calls that need an id.  An id is a digest of
-    conversation, turn and place, so that a retry gives the same.  The nth tool message of a
-    conversation answers its nth call; if that call doesn't come before it, ids is empty.
+    conversation, turn and place, so that a retry gives the same.  Tool messages take the ids from a
+    queue, as `queue_places` says; ids is empty where nothing waited.
     """
-    places = F.when(F.col("calls") > 0, F.sequence(F.lit(0), F.col("calls").cast("int") - 1))
+    rows = relational.settled(queue_places(messages.select(conversation, turn, "role", "calls"), conversation, turn))
     key, at = F.col(conversation), F.col(turn)
-    call = messages.where(F.col("role") == "assistant").select(conversation, turn, F.explode(places).alias("call"))
+    places = F.sequence(F.lit(0), F.col("calls").cast("int") - 1)
+    call = rows.where((F.col("role") == "assistant") & (F.col("calls") > 0)).select(conversation, turn, "pushed", F.explode(places).alias("call"))
     call = call.withColumn("id", F.concat(F.lit(ID_PREFIX), F.substring(F.sha2(F.concat_ws("|", key, at, "call"), 256), 1, ID_LENGTH)))
     own = call.groupBy(conversation, turn).agg(F.array_sort(F.collect_list(F.struct("call", "id"))).alias("x"))
     own = own.select(conversation, turn, F.transform("x", lambda e: e["id"]).alias("ids"))
-    asked = ranked(call, [conversation], [turn, "call"]).select(conversation, "place", F.col(turn).alias("__asked"), "id")
-    answers = ranked(messages.where(F.col("role") == "tool").select(conversation, turn), [conversation], [turn])
-    answers = answers.join(asked, [conversation, "place"]).where(F.col("__asked") < at)
+    asked = call.select(conversation, (F.col("pushed") + F.col("call")).alias("taken"), "id")
+    answers = rows.where("taken IS NOT NULL").select(conversation, turn, "taken").join(asked, [conversation, "taken"])
     found = own.unionByName(answers.select(conversation, turn, F.array("id").alias("ids")))
-    return messages.join(found, [conversation, turn], "left").select(
+    return rows.join(found, [conversation, turn], "left").select(
         conversation, turn, "role", F.coalesce("ids", F.array().cast("array<string>")).alias("ids")
     )

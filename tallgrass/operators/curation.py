@@ -6,11 +6,12 @@ thresholds are held against the unrounded similarity.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallgrass.operators import relational
+
 ORIGINAL, SYNTHETIC = "original", "synthetic"
 ISOLATED, GAP, UNRELATED, CROSS_PARENT, QUALITY = 0.75, 0.75, 0.65, 0.75, 0.95
 
@@ -66,31 +67,47 @@ def crossing_set(synthetic: DataFrame, edges: DataFrame, threshold: float = CROS
 
 
 def crossing_greedy(synthetic: DataFrame, edges: DataFrame, threshold: float = CROSS_PARENT) -> DataFrame:
-    """Rule 3 in scan order (column ord of `synthetic`).
+    """Rule 3 in scan order (column ord of `synthetic`, different for each tool).
 
-    A tool that is not yet marked marks itself and its first such neighbour.  The order makes
-    this one sequence; only tools with such a pair take part, k edges each.
+    A tool that is not yet marked when its turn comes marks itself and its first such neighbour.  So a tool acts
+    unless an earlier tool that acts has it as its first neighbour.  Each round decides all tools at once whose
+    earlier tools of that kind are all decided: the least of the undecided tools is one of them, so rounds end, and
+    the result is the scan's.  There are as many rounds as tools in the longest chain of first neighbours of rising
+    ord, and a round's joins hold the undecided ones only.
     """
     pairs = cross_edges(synthetic, edges, threshold).join(synthetic.select("tool_name", "ord"), "tool_name")
-    pairs = pairs.withColumn("one", F.lit(0))
-
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
-        marked: dict = {}
-        for row in frame.sort_values(["ord", "rank"]).drop_duplicates("tool_name").itertuples():
-            if row.tool_name not in marked:
-                marked[row.tool_name] = marked[row.neighbor_name] = True
-        return pd.DataFrame({"tool_name": list(marked)}, dtype=frame["tool_name"].dtype)
-
-    kind = synthetic.schema["tool_name"].dataType.simpleString()
-    return pairs.groupBy("one").applyInPandas(scan, f"tool_name {kind}")
+    first = relational.settled(pairs.groupBy("tool_name").agg(F.first("ord").alias("ord"), F.min_by("neighbor_name", F.struct("rank", "neighbor_name")).alias("marks")))
+    later = first.select(F.col("tool_name").alias("marks"), F.col("ord").alias("later"))
+    # source, target: the target is a tool of its own turn after the source's
+    waits = first.join(later, "marks").where("ord < later").select(F.col("tool_name").alias("source"), F.col("marks").alias("target"))
+    waits = relational.settled(waits)
+    undecided = first.select("tool_name")
+    acting = None
+    while True:
+        blocked = waits.select(F.col("target").alias("tool_name"))
+        now = relational.settled(undecided.join(blocked, "tool_name", "left_anti"))
+        acting = now if acting is None else acting.unionByName(now)
+        # those whom an acting tool marks are decided too: they don't act
+        struck = waits.join(now.select(F.col("tool_name").alias("source")), "source", "left_semi").select(F.col("target").alias("tool_name"))
+        decided = relational.settled(now.unionByName(struck).distinct())
+        undecided = relational.settled(undecided.join(decided, "tool_name", "left_anti"))
+        if not undecided.limit(1).count():
+            break
+        gone = decided.select(F.col("tool_name").alias("source"))
+        kept = waits.join(gone, "source", "left_anti").join(gone.select(F.col("source").alias("target")), "target", "left_anti")
+        waits = relational.settled(kept.select("source", "target"))
+    marks = first.join(acting, "tool_name", "left_semi")
+    return marks.select(F.explode(F.array("tool_name", "marks")).alias("tool_name")).distinct()
 
 
 def judged(synthetic: DataFrame, original: DataFrame, edges: DataFrame, unrelated_at=UNRELATED, cross_at=CROSS_PARENT, mode="greedy") -> DataFrame:
-    """The synthetic tools with `rule`: the first rule (1 to 3) that a tool breaks, or 0."""
+    """The synthetic tools with `rule`: the first rule (1 to 3) that a tool breaks, or 0.  The edges are written once for both rules."""
+    edges = relational.settled(edges)
     marked = lambda df, rule: df.select("tool_name").distinct().withColumn(f"rule{rule}", F.lit(rule))
     one = synthetic.join(marked(clashing(synthetic, original), 1), "tool_name", "left")
     two = one.join(marked(unrelated(one.where("rule1 IS NULL").drop("rule1"), edges, unrelated_at), 2), "tool_name", "left")
     last = crossing_greedy if mode == "greedy" else crossing_set
+    two = relational.settled(two)
     left = two.where("rule1 IS NULL AND rule2 IS NULL").drop("rule1", "rule2")
     three = two.join(marked(last(left, edges, cross_at), 3), "tool_name", "left")
     return three.withColumn("rule", F.coalesce("rule1", "rule2", "rule3", F.lit(0))).drop("rule1", "rule2", "rule3")

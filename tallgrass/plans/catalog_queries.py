@@ -235,6 +235,22 @@ def _cross(alive: str) -> str:
 """
 
 
+def _scan(alive: str) -> str:
+    """The greedy rule as it is told: tool after tool in their order, with the list of those marked so far."""
+    return (
+        _cross(alive).replace("SELECT e.tool_name, e.neighbor_name FROM", "SELECT e.tool_name, e.neighbor_name, e.rank FROM").split(", r3 AS")[0]
+        + """
+, firsts AS (SELECT tool_name, arg_min(neighbor_name, rank) AS marks, row_number() OVER (ORDER BY tool_name) AS turn FROM cross_pairs GROUP BY 1)
+, scan AS (SELECT 0::BIGINT AS turn, []::BIGINT[] AS marked UNION ALL
+  SELECT f.turn, CASE WHEN list_contains(marked, f.tool_name) THEN marked ELSE list_concat(marked, [f.tool_name, f.marks]) END
+  FROM scan s JOIN firsts f ON f.turn = s.turn + 1)
+, r3 AS (SELECT DISTINCT unnest(marked) AS tool_name FROM (SELECT marked FROM scan ORDER BY turn DESC LIMIT 1))
+"""
+    )
+
+
+_RECURSIVE = _KNN.replace("WITH v", "WITH RECURSIVE v", 1)
+
 SQL = {
     "knn_topk": _KNN + "SELECT tool_name, neighbor_name, similarity, rank FROM edges",
     "knn_typed": _KNN + "SELECT tool_name, tool_type, neighbor_name, neighbor_type, similarity, rank FROM edges",
@@ -271,6 +287,13 @@ FROM edges""",
 WHERE p_size % 2 = 0 AND p_name IN (SELECT p_name FROM part WHERE p_size % 5 = 1)""",
     "gold_rule2": _KNN + _RULES + "SELECT tool_name FROM r2",
     "gold_rule3_set": _KNN + _RULES + _cross("syn") + "SELECT tool_name FROM r3",
+    "gold_rule3_greedy": _RECURSIVE + _RULES + _scan("syn") + "SELECT tool_name FROM r3",
+    "gold_pipeline": _RECURSIVE
+    + _RULES
+    + ", two AS (SELECT * FROM syn WHERE tool_name NOT IN (SELECT tool_name FROM r2))"
+    + _scan("two")
+    + """SELECT tool_name, 'original' AS tool_type FROM tools WHERE tool_type = 'original'
+UNION ALL SELECT tool_name, 'synthetic' FROM two WHERE tool_name NOT IN (SELECT tool_name FROM r3)""",
     "gold_pipeline_set": _KNN
     + _RULES
     + ", two AS (SELECT * FROM syn WHERE tool_name NOT IN (SELECT tool_name FROM r2))"

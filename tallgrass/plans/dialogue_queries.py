@@ -2,44 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from tallgrass.functions import schemas
-from tallgrass.operators import calls, dag, dialogue, relational, retrieval, vectors
-
-#: Fixtures of answers and gold answers, with the JSON schema of a small tool.
-CASES = [
-    (1, '{"n": 1}', '{"n": 1.0}'),
-    (2, '{"b": true}', '{"b": true}'),
-    (3, "{}", '{"x": "a"}'),
-    (4, '{"x": "z"}', '{"x": "a"}'),
-    (5, '{"c": " New York "}', '{"c": "newyork"}'),
-    (6, '{"c": "Beijng"}', '{"c": "Beijing"}'),
-    (7, '{"l": [1, 2]}', '{"l": [1]}'),
-    (8, "no json", "{}"),
-    (9, '{"c": "the quick brown fox jumps over it"}', '{"c": "the quick brown fox jumped over it"}'),
-]
-TOOL = {
-    "type": "function",
-    "function": {
-        "name": "tool",
-        "description": "A tool",
-        "parameters": {
-            "type": "object",
-            "properties": {
-                "n": {"type": "number"},
-                "b": {"type": "integer"},
-                "x": {"type": "string", "enum": ["a", "b"]},
-                "c": {"type": "string"},
-                "l": {"type": "array", "items": {"type": "integer"}},
-            },
-            "required": [],
-        },
-    },
-}
-
+from tallgrass.operators import call_checks, calls, dag, dialogue, evaluation, relational, retrieval, vectors
 
 def _t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -119,18 +85,54 @@ def arg_check_flat(spark, d):
     return events.select("event_id", found.alias("result"))
 
 
+def _nested_tools(spark, d):
+    """Parts as tools of two nested objects: enums, items of one of two types, names that may be free."""
+    items = F.when(F.col("p_size") % 2 == 0, "integer").otherwise("string")
+    kinds = F.when(F.col("p_partkey") % 5 == 0, F.lit('"view", "click"')).otherwise(F.lit('"view", "click", "error", "signup", "purchase"'))
+    free = F.when(F.col("p_size") % 3 == 0, "true").otherwise("false")
+    text = F.concat(
+        F.lit('{"type": "object", "properties": {"meta": {"type": "object", "properties": {"kind": {"type": "string", "enum": ['), kinds,
+        F.lit(']}, "tags": {"type": "array", "items": {"type": "'), items, F.lit('"}}}, "required": ["kind"], "additionalProperties": '), free,
+        F.lit('}, "inner": {"type": "object", "properties": {"k": {"type": "integer", "enum": [1, 2, 3]}}}}, "required": ["meta", "inner"]}'),
+    )
+    return _t(spark, d, "part").select(F.concat(F.lit("t"), "p_partkey").alias("tool"), text.alias("parameters"))
+
+
 def arg_check_nested(spark, d):
-    rows = spark.createDataFrame(CASES, "id int, predicted string, gold string")
-    tools = F.lit(json.dumps([TOOL]))
-    none = F.lit(None).cast("string")
-    checked = rows.select("id", "predicted", F.coalesce(none, "predicted").alias("gold"))
-    return checked.select("id", schemas.call_error_column(tools, F.lit("tool"), F.col("predicted"), F.col("gold")).alias("result"))
+    """Events as calls of the parts' tools, with nested arguments."""
+    note = F.when(F.col("event_id") % 4 == 0, ', "note": 1').otherwise("")
+    meta = F.concat(F.lit('"meta": {"kind": "'), "event_type", F.lit('", "tags": ['), "user_id", F.lit("]"), note, F.lit("}, "))
+    text = F.concat(F.lit("{"), F.when(F.col("event_id") % 50 == 0, "").otherwise(meta), F.lit('"inner": '), "props", F.lit("}"))
+    events = _t(spark, d, "events").select(
+        F.col("event_id").alias("id"), F.concat(F.lit("t"), F.col("event_id") % 200).alias("tool"), text.alias("predicted"), F.lit(None).cast("string").alias("gold")
+    )
+    return call_checks.call_errors(events, _nested_tools(spark, d)).select("id", "result")
 
 
 def answer_compare(spark, d):
-    rows = spark.createDataFrame(CASES, "id int, predicted string, gold string")
-    tools = F.lit(json.dumps([TOOL]))
-    return rows.select("id", schemas.call_error_column(tools, F.lit("tool"), F.col("predicted"), F.col("gold")).alias("result"))
+    """Events' arguments against gold ones that differ in a value, a length, a spelling, a type or a name."""
+    n = F.col("event_id") % 7
+
+    def text(kind, user, k, more=""):
+        return F.concat(F.lit('{"inner": {"k": '), k, F.lit('}, "meta": {'), kind, F.lit(', "tags": ['), user, F.lit("]}"), F.lit(more), F.lit("}"))
+
+    k = F.get_json_object("props", "$.k").cast("long")
+    kind = lambda c: F.concat(F.lit('"kind": "'), c, F.lit('"'))
+    own = F.col("event_type")
+    gold_kind = F.when(n == 3, kind(F.concat(F.lit(" "), F.upper(own), F.lit(" ")))).when(n == 4, kind(F.lit("zzzz"))).when(n == 6, F.lit('"other": 1')).otherwise(kind(own))
+    user = F.col("user_id").cast("string")
+    gold_user = F.when(n == 2, F.concat(user, F.lit(", 0"))).when(n == 5, F.concat(user, F.lit(".0"))).otherwise(user)
+    events = _t(spark, d, "events").select(
+        F.col("event_id").alias("id"),
+        F.lit("any").alias("tool"),
+        text(kind(own), user, k.cast("string")).alias("predicted"),
+        text(gold_kind, gold_user, F.when(n == 1, k + 1).otherwise(k).cast("string")).alias("gold"),
+    )
+    tools = _t(spark, d, "part").where("p_partkey = 0").select(
+        F.lit("any").alias("tool"),
+        F.lit('{"properties": {"inner": {"type": "object", "additionalProperties": true}, "meta": {"type": "object", "additionalProperties": true}}}').alias("parameters"),
+    )
+    return call_checks.call_errors(events, tools).select("id", "result")
 
 
 def str_similarity(spark, d):
@@ -151,10 +153,10 @@ def plan_rules(spark, d):
 
 
 def tool_rules(spark, d):
-    """Whether orders have as many lines of status O as of others, as actions and observations."""
-    lines = _t(spark, d, "lineitem").groupBy("l_orderkey")
-    own = lambda c: F.count_if(c).cast("int")
-    return lines.agg((own(F.col("l_linestatus") == "O") == own(F.col("l_linestatus") != "O")).alias("matches"))
+    """Whether parts have as many words in their name as in their type, as actions and observations; some can't be parsed."""
+    words = lambda c: F.split(c, " ")
+    observations = F.when(F.col("p_partkey") % 9 != 0, F.concat(words("p_type"), F.when(F.col("p_size") % 2 == 0, F.array(F.lit("more"))).otherwise(F.array())))
+    return _t(spark, d, "part").select("p_partkey", dialogue.observations_match(words("p_name"), observations).alias("matches"))
 
 
 def _nodes(spark, d):
@@ -192,15 +194,91 @@ def dag_paths(spark, d):
 
 
 def step_match(spark, d):
-    return _graphs(spark).select("name", dag.replay_column(F.col("nodes"), F.col("told")).alias("x")).select("name", "x.*")
+    """Conversations as graphs of calls, with predicted steps.
+
+    By conv_id modulo 4: the turns one by one under names of their own; the levels under the roles' names; the turns
+    from the last on; the levels, with a strange call in one of them.
+    """
+    kind = F.col("task") % 4
+    rows = dag_levels(spark, d).join(_nodes(spark, d).withColumnRenamed("task", "t").withColumnRenamed("node", "n"), (F.col("task") == F.col("t")) & (F.col("node") == F.col("n")))
+    name = F.when(kind % 2 == 0, F.concat(F.lit("turn "), "node")).otherwise(F.col("role"))
+    rows = rows.select("task", F.struct("node", name.alias("name"), "deps", "level").alias("x"))
+    graphs = rows.groupBy("task").agg(F.array_sort(F.collect_list("x")).alias("x"))  # a conversation's turns
+    last = F.array_max(F.transform("x", lambda n: n["level"]))
+    levels = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.transform(F.filter("x", lambda n: n["level"] == i), lambda n: n["name"]))
+    singles = F.transform("x", lambda n: F.array(n["name"]))
+    strange = F.floor(F.col("task") / 4) % (last + 1)
+    told = (
+        F.when(kind == 0, singles)
+        .when(kind == 1, levels)
+        .when(kind == 2, F.reverse(singles))
+        .otherwise(F.transform(levels, lambda names, i: F.when(i == strange, F.array_append(F.slice(names, 2, 100), F.lit("strange"))).otherwise(names)))
+    )
+    nodes = F.transform("x", lambda n: F.struct(n["name"].alias("name"), n["deps"].alias("deps")))
+    logs = relational.settled(graphs.select("task", nodes.alias("nodes"), told.alias("told")))
+    found = logs.select("task", dag.replay_column(F.col("nodes"), F.col("told")).alias("r"))
+    as_long = lambda c: F.col(f"r.{c}").cast("long").alias(c)
+    return found.select("task", "r.label", as_long("step"), as_long("failed_at"), "r.is_optimal")
+
+
+def _log(spark, d):
+    """Events as steps, six to a task, with two calls each; some steps have a wrong name, some are control actions."""
+    bad, control = (F.col("event_id") * 7919) % 23 == 0, F.col("event_type") == "signup"
+    return _t(spark, d, "events").select(
+        F.floor(F.col("event_id") / 6).alias("task"),
+        (F.col("event_id") % 6).alias("step"),
+        F.when(bad, "error").otherwise("correct").alias("name_label"),
+        control.alias("control"),
+        "event_id", "event_type", "user_id", "props",
+    )
 
 
 def params_label(spark, d):
-    """Name and argument labels of three logs joined."""
-    ok, wrong, bad = ("correct", "correct"), ("correct", "error"), ("error", "correct")
-    logs = {1: ("correct", [ok, ok]), 2: ("error", [ok, bad]), 3: ("error", [wrong, ok, bad]), 4: ("correct", [ok, wrong])}
-    rows = [(i, *dag.judge_arguments(label, True, steps).values()) for i, (label, steps) in logs.items()]
-    return spark.createDataFrame(rows, "id int, name_label string, arguments_label string, is_optimal boolean, steps int, label string")
+    """Labels of tasks from the events' log: calls paired and checked, steps walked."""
+    log = _log(spark, d)
+    looked = log.where("name_label = 'correct' AND NOT control")
+    wrong = F.when(F.col("event_id") % 13 == 0, F.lit("77")).otherwise(F.col("user_id").cast("string"))
+    predicted = F.array(
+        F.struct(F.lit("log").alias("name"), F.concat(F.lit('{"user": '), wrong, F.lit("}")).alias("arguments")),
+        F.struct(F.col("event_type").alias("name"), F.col("props").alias("arguments")),
+    )
+    gold = F.array(
+        F.struct(F.col("event_type").alias("name"), F.col("props").alias("arguments")),
+        F.struct(F.lit("log").alias("name"), F.concat(F.lit('{"user": '), F.col("user_id"), F.lit("}")).alias("arguments")),
+    )
+    schema = lambda name, kind, more: F.lit(f'{{"type": "object", "properties": {{"{name}": {{"type": "{kind}"{more}}}}}, "required": ["{name}"]}}')
+    tools = _t(spark, d, "events").select(F.col("event_type").alias("name")).distinct()
+    tools = tools.select("name", F.when(F.col("name") == "click", schema("k", "integer", f', "enum": {list(range(95))}')).otherwise(schema("k", "integer", "")).alias("parameters"))
+    tools = tools.unionByName(tools.limit(1).select(F.lit("log").alias("name"), schema("user", "integer", "").alias("parameters")))
+    pairs = evaluation.checked_pairs(looked.select("task", "step", F.inline(predicted)), looked.select("task", "step", F.inline(gold)), tools, ["task", "step"])
+    tasks = log.groupBy("task").agg(F.when(F.bool_or(F.col("name_label") == "error"), "error").otherwise("correct").alias("name_label"))
+    tasks = tasks.withColumn("is_optimal", F.col("task") % 2 == 0)
+    return evaluation.task_labels(tasks, evaluation.step_labels(log, pairs))
+
+
+def _tasks(spark, d):
+    """Conversations as tasks, four to a dialogue: their turns are answers under names of their own, and one answer ends them."""
+    turns = _nodes(spark, d).join(_t(spark, d, "conversations").select("conv_id", "turn", "text"), (F.col("task") == F.col("conv_id")) & (F.col("node") == F.col("turn")))
+    name = F.when((F.col("node") == 0) & (F.col("role") == "system"), dag.ASK).otherwise(F.concat(F.lit("turn "), "node"))
+    observation = F.concat(F.lit("seen "), F.substring("text", 1, 20))
+    user = F.when(F.col("node") == 0, "as you like")
+    arguments = F.concat(F.lit('{"turn": '), "node", F.lit("}"))
+    one = F.struct("node", F.struct(name.alias("name"), arguments.alias("arguments"), observation.alias("observation"), user.alias("user_input"), "deps").alias("a"))
+    whole = turns.groupBy("task").agg(F.array_sort(F.collect_list(one)).alias("x"), F.min_by("text", "node").alias("text"))  # a conversation's turns
+    answers = F.transform("x", lambda n: n["a"])
+    final = F.struct(
+        F.lit(dag.ANSWER).alias("name"), F.lit("{}").alias("arguments"), F.lit("done").alias("observation"),
+        F.lit(None).cast("string").alias("user_input"), F.transform("x", lambda n: n["node"].cast("int")).alias("deps"),
+    )
+    return whole.select(
+        F.floor(F.col("task") / 4).alias("dialogue"), "task", F.concat(F.lit("day "), "task").alias("env"),
+        F.substring("text", 1, 30).alias("text"), F.concat(answers, F.array(final)).alias("answers"),
+    )
+
+
+def history_messages(spark, d):
+    found = evaluation.history(_tasks(spark, d))
+    return found.select("dialogue", "number", "task", "role", "content", F.array_join(F.transform("calls", lambda c: c["name"]), ",").alias("calls"))
 
 
 def task_paths(spark, d):
@@ -269,7 +347,7 @@ QUERIES = {
     for f in (
         last_user_query, context_query, context_query_tail, instruct_query, rerank_sanitize, schema_fix, schema_validate, arg_check_flat,
         arg_check_nested, answer_compare, str_similarity, plan_rules, tool_rules, dag_indegree, dag_levels, dag_paths, step_match,
-        params_label, task_paths, transcript_clean, call_forms, call_pairs, message_ids, param_split,
+        params_label, task_paths, transcript_clean, call_forms, call_pairs, message_ids, param_split, history_messages,
     )
 }
 
@@ -310,7 +388,50 @@ CASE WHEN l_returnflag = 'N' AND l_linenumber % 2 = 0 THEN 'unknown argument' EN
 CASE WHEN l_returnflag IN ('A', 'N') AND l_quantity <= 25 THEN 'empty required' END
 ], lambda x: x IS NOT NULL)), '; ') AS errors FROM lineitem)
 SELECT errors, count(*) AS n FROM r GROUP BY 1""",
-    "tool_rules": "SELECT l_orderkey, count(*) FILTER (l_linestatus = 'O') = count(*) FILTER (l_linestatus <> 'O') AS matches FROM lineitem GROUP BY 1",
+    "tool_rules": """SELECT p_partkey, p_partkey % 9 <> 0 AND len(string_split(p_name, ' ')) = len(string_split(p_type, ' ')) + CAST(p_size % 2 = 0 AS INT) AS matches
+FROM part""",
+    "arg_check_nested": f"""SELECT event_id AS id, CASE WHEN event_id % 50 = 0 THEN '{schemas.ERRORS["missing"][0]}'
+WHEN p_partkey % 5 = 0 AND event_type NOT IN ('view', 'click') THEN '{schemas.ERRORS["enum"][1]}'
+WHEN p_size % 2 = 1 THEN '{schemas.ERRORS["type"][1]}'
+WHEN event_id % 4 = 0 AND p_size % 3 <> 0 THEN '{schemas.ERRORS["undefined"][1]}'
+WHEN CAST(json_extract(props, '$.k') AS INT) NOT IN (1, 2, 3) THEN '{schemas.ERRORS["enum"][1]}'
+ELSE 'correct' END AS result FROM events JOIN part ON p_partkey = event_id % 200""",
+    "answer_compare": f"""SELECT event_id AS id, CASE event_id % 7 WHEN 1 THEN '{schemas.VALUE} at ''inner.k''' WHEN 2 THEN '{schemas.LENGTH} at ''meta.tags'''
+WHEN 4 THEN '{schemas.SIMILARITY} at ''meta.kind'' (edit score: 0.00)' WHEN 5 THEN '{schemas.TYPE} at ''meta.tags[0]'''
+WHEN 6 THEN '{schemas.KEYS} at ''meta'' (missing: [''other''], extra: [''kind''])' ELSE 'correct' END AS result FROM events""",
+    "step_match": """WITH RECURSIVE e AS (SELECT DISTINCT conv_id, turn, unnest([turn // 2, turn // 3]) AS dep FROM conversations),
+l AS (SELECT conv_id, turn, 0 AS level FROM conversations WHERE turn = 0
+  UNION SELECT e.conv_id, e.turn, l.level + 1 FROM e JOIN l ON e.conv_id = l.conv_id AND e.dep = l.turn AND e.dep < e.turn),
+s AS (SELECT conv_id AS task, conv_id % 4 AS kind, max(turn) AS last, max(level) AS top FROM l GROUP BY 1, 2),
+x AS (SELECT *, (task // 4) % (top + 1) AS strange, kind = 3 OR (kind = 2 AND last > 0) AS bad FROM s)
+SELECT task, CASE WHEN bad THEN 'error' ELSE 'correct' END AS label,
+CAST(CASE kind WHEN 0 THEN last WHEN 1 THEN top WHEN 2 THEN 0 ELSE strange END AS BIGINT) AS step,
+CAST(CASE WHEN bad THEN CASE kind WHEN 2 THEN 0 ELSE strange END END AS BIGINT) AS failed_at,
+NOT bad AND (kind <> 0 OR last = top) AS is_optimal FROM x""",
+    "params_label": """WITH RECURSIVE s AS (SELECT event_id // 6 AS task, event_id % 6 AS step, (event_id * 7919) % 23 = 0 AS bad,
+  event_type <> 'signup' AND ((event_id % 13 = 0 AND user_id <> 77) OR (event_type = 'click' AND CAST(json_extract(props, '$.k') AS INT) > 94)) AS wrong FROM events),
+t AS (SELECT task, CASE WHEN bool_or(bad) THEN 'error' ELSE 'correct' END AS name, count(*) AS n FROM s GROUP BY 1),
+w AS (SELECT task, -1::BIGINT AS step, 'correct' AS args, name, n, NULL::BIGINT AS struck, false AS ended FROM t
+  UNION ALL SELECT w.task, s.step, CASE WHEN w.args = 'error' OR s.bad THEN w.args WHEN s.wrong THEN 'error' ELSE w.args END,
+    CASE WHEN w.args = 'error' THEN 'correct' ELSE w.name END, n, CASE WHEN w.args = 'error' THEN s.step END, w.args = 'error' OR s.bad
+  FROM w JOIN s ON s.task = w.task AND s.step = w.step + 1 WHERE NOT w.ended),
+z AS (SELECT *, CASE WHEN name = 'correct' THEN args END AS arguments_label FROM w QUALIFY row_number() OVER (PARTITION BY task ORDER BY step DESC) = 1)
+SELECT task, name AS name_label, arguments_label, task % 2 = 0 AND NOT (name = 'correct' AND args = 'error') AS is_optimal,
+n - CAST(struck IS NOT NULL AS BIGINT) AS steps, struck,
+CASE WHEN name = 'correct' AND arguments_label = 'correct' THEN 'correct' ELSE 'error' END AS label FROM z""",
+    "history_messages": f"""WITH RECURSIVE n AS (SELECT conv_id AS task, turn, role, text FROM conversations),
+e AS (SELECT DISTINCT task, turn AS child, unnest([turn // 2, turn // 3]) AS dep FROM n),
+h AS (SELECT task, turn, 2 AS height FROM n UNION SELECT h.task, e.dep, h.height + 1 FROM h JOIN e ON e.task = h.task AND e.child = h.turn AND e.dep < e.child),
+g AS (SELECT task, turn, max(height) AS height FROM h GROUP BY 1, 2),
+p AS (SELECT *, max(height) OVER (PARTITION BY task) - height AS step, role = 'system' AND turn = 0 AS asks FROM g JOIN n USING (task, turn)),
+m AS (
+  SELECT task // 4 AS dialogue, min(task) AS task, -1 AS step, 0 AS kind, 0::BIGINT AS turn, 'system' AS role, 'Current Date: day ' || min(task) AS content, '' AS calls FROM n GROUP BY 1
+  UNION ALL SELECT task // 4, task, -1, 1, 0, 'user', left(text, 30), '' FROM n WHERE turn = 0
+  UNION ALL SELECT task // 4, task, step, 0, 0, 'assistant', CASE WHEN bool_or(asks) THEN min('seen ' || left(text, 20)) ELSE '' END,
+    CASE WHEN bool_or(asks) THEN '' ELSE string_agg('turn ' || turn, ',' ORDER BY turn) END FROM p GROUP BY task, step
+  UNION ALL SELECT task // 4, task, step, 1, turn, CASE WHEN asks THEN 'user' ELSE 'tool' END, CASE WHEN asks THEN 'as you like' ELSE 'seen ' || left(text, 20) END, '' FROM p
+  UNION ALL SELECT task // 4, task, 1000, 0, 0, 'assistant', 'done', '' FROM n WHERE turn = 0)
+SELECT dialogue, row_number() OVER (PARTITION BY dialogue ORDER BY task, step, kind, turn) - 1 AS number, task, role, content, calls FROM m""",
     "dag_indegree": """SELECT conv_id AS task, CAST(turn AS INT) AS node,
 CAST(len(list_distinct(list_filter([turn // 2, turn // 3], lambda x: x < turn))) AS BIGINT) AS degree FROM conversations""",
     "dag_levels": """WITH RECURSIVE e AS (SELECT DISTINCT conv_id, turn, unnest([turn // 2, turn // 3]) AS dep FROM conversations),
@@ -330,14 +451,13 @@ a AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY name, argume
 b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY name, arguments) - 1 AS place FROM g)
 SELECT l_orderkey, place, a.name AS predicted, b.name AS gold,
 a.name IS NOT DISTINCT FROM b.name AND a.arguments IS NOT DISTINCT FROM b.arguments AS same FROM a FULL JOIN b USING (l_orderkey, place)""",
-    "message_ids": f"""WITH c AS (SELECT conv_id, turn, unnest(range(turn % 3)) AS call FROM conversations WHERE role = 'assistant'),
-i AS (SELECT *, '{calls.ID_PREFIX}' || substr(sha256(conv_id || '|' || turn || '|' || call), 1, {calls.ID_LENGTH}) AS id,
-      row_number() OVER (PARTITION BY conv_id ORDER BY turn, call) AS nth FROM c),
-t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations WHERE role = 'user'),
-f AS (SELECT conv_id, turn, string_agg(id, ',' ORDER BY call) AS ids FROM i GROUP BY 1, 2
-      UNION ALL SELECT t.conv_id, t.turn, id FROM t JOIN i ON i.conv_id = t.conv_id AND i.nth = t.nth AND i.turn < t.turn)
-SELECT conv_id, turn, CASE role WHEN 'user' THEN 'tool' ELSE role END AS role, coalesce(ids, '') AS ids
-FROM conversations LEFT JOIN f USING (conv_id, turn)""",
+    "message_ids": f"""WITH RECURSIVE m AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'tool' ELSE role END AS role,
+  CASE WHEN role = 'assistant' THEN list_transform(range(turn % 3), lambda c: '{calls.ID_PREFIX}' || substr(sha256(conv_id || '|' || turn || '|' || c), 1, {calls.ID_LENGTH})) ELSE [] END AS made,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations),
+q AS (SELECT conv_id, 0::BIGINT AS nth, []::VARCHAR[] AS waiting, NULL::VARCHAR AS taken FROM m WHERE nth = 1
+  UNION ALL SELECT m.conv_id, m.nth, CASE WHEN m.role = 'tool' THEN q.waiting[2:] ELSE list_concat(q.waiting, m.made) END, CASE WHEN m.role = 'tool' THEN q.waiting[1] END
+  FROM q JOIN m ON m.conv_id = q.conv_id AND m.nth = q.nth + 1)
+SELECT conv_id, turn, role, coalesce(taken, array_to_string(made, ',')) AS ids FROM m JOIN q USING (conv_id, nth)""",
     "param_split": """WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS names, string_split(lower(p_type), ' ') AS kinds FROM part)
 SELECT p_partkey, array_to_string(list_filter(names, lambda x: length(x) > 5 OR list_contains(kinds, x)), ',') AS required,
 array_to_string(list_filter(names, lambda x: NOT (length(x) > 5 OR list_contains(kinds, x))), ',') AS optional FROM p""",

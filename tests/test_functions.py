@@ -32,20 +32,11 @@ def test_more_paths():
 
 
 def test_replay():
-    names, found = list("abc"), dag.paths(list("abc"), [[], [], [0, 1]])
-    assert dag.replay(names, found, [["b", "a"], ["c"]]) == ("correct", 1, None)
-    assert dag.replay(names, found, [["a"], ["c"]]) == ("error", 1, 1)
-    assert dag.replay(names, found, [[]])[0] == "error"
-    assert dag.is_optimal("correct", 1, found) and not dag.is_optimal("correct", 2, found)
-
-
-def test_argument_labels():
-    ok, wrong = ("correct", "correct"), ("correct", "error")
-    assert dag.judge_arguments("error", True, [wrong, ok, ok]) == {
-        "name_label": "correct", "arguments_label": "error", "is_optimal": False, "steps": 2, "label": "error"
-    }
-    assert dag.judge_arguments("correct", True, [ok, wrong])["steps"] == 2
-    assert dag.judge_arguments("correct", True, [ok])["label"] == "correct"
+    names, deps = list("abc"), [[], [], [0, 1]]
+    assert dag.replay(names, deps, [["b", "a"], ["c"]]) == ("correct", 1, None)
+    assert dag.replay(names, deps, [["a"], ["c"]]) == ("error", 1, 1)
+    assert dag.replay(names, deps, [[]])[0] == "error"
+    assert dag.is_optimal("correct", 1, deps) and not dag.is_optimal("correct", 2, deps)
 
 
 @pytest.mark.parametrize(
@@ -215,10 +206,10 @@ def test_lists_of_types():
 
 
 def test_replay_beyond_all_paths(spark):
-    """Nine independent calls have more than MOST_PATHS executions: an error text, and the other rows go on."""
+    """Nine independent calls have more than MOST_PATHS executions, which matching doesn't list; a broken graph is an error text."""
     kind = "id int, nodes array<struct<name:string,deps:array<int>>>, told array<array<string>>"
-    rows = [(1, [(c, []) for c in "abcdefghi"], [["a"]]), (2, [("a", [])], [["a"]])]
+    rows = [(1, [(c, []) for c in "abcdefghi"], [list("ihgfedcba")]), (2, [("a", [])], [["a"]]), (3, [("a", [7])], [["a"]]), (4, None, None)]
     got = spark.createDataFrame(rows, kind).select("id", dag.replay_column(F.col("nodes"), F.col("told")).alias("x")).select("id", "x.*")
-    first, second = sorted(got.collect())
-    assert first["label"] is None and "paths" in first["error"]
-    assert second["label"] == "correct" and second["error"] is None
+    first, second, third, fourth = sorted(got.collect())
+    assert first["label"] == second["label"] == "correct" and first["is_optimal"] and first["error"] is second["error"] is None
+    assert third["label"] is None and third["error"] and fourth["label"] == "error"
