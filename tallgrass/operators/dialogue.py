@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallgrass.operators import calls, relational
+
 #: Single tool, several tools, question for a missing parameter, chat.
 TASK_TYPES = ("ST", "MT", "CQ", "CC")
 ASK, ANSWER = "ask_user_for_required_parameters", "prepare_to_answer"
@@ -28,6 +30,21 @@ def task_paths(spark: SparkSession, length: int, types: Sequence[str] = TASK_TYP
     return out
 
 
+def path_at(number: Column, length: int, types: Sequence[str] = TASK_TYPES) -> Column:
+    """The path of a number, in the order of `task_paths`: shorter paths first, then as numbers in base len(types).
+
+    Numbers beyond the last path start again at the first one.
+    """
+    b = len(types)
+    names, starts = F.array(*map(F.lit, types)), [sum(b**m for m in range(1, n)) for n in range(1, length + 2)]
+    own = F.pmod(number, F.lit(starts[-1]))
+    out = None
+    for n, (start, end) in enumerate(zip(starts, starts[1:]), 1):
+        digits = [F.get(names, F.pmod(F.floor((own - start) / b ** (n - 1 - i)), F.lit(b)).cast("int")) for i in range(n)]
+        out = F.when(own < end, F.array(*digits)) if out is None else out.when(own < end, F.array(*digits))
+    return out
+
+
 def speaker(content: Column) -> Column:
     """Who speaks, from how a message starts."""
     out = F.when(content.startswith("Switch"), "Switch")
@@ -162,6 +179,27 @@ def following(previous: Column) -> Column:
     )
 
 
+def first_illegal(messages: DataFrame, dialogue: str = "dialogue", turn: str = "turn") -> DataFrame:
+    """dialogue, turn, before, speaker: the first turn of each dialogue that may not follow the one before it, else nulls.
+
+    messages: dialogue, turn, content, which says who speaks.  Switches take no turn of their own.  A dialogue opens
+    with the user (`before` is then empty); a message of no known speaker is never allowed, and nothing is checked
+    after the first such turn.  Places come from numbers over the table, so a long dialogue is no single task.
+    """
+    rows = messages.select(dialogue, turn, F.coalesce(speaker(F.col("content")), F.lit("")).alias("__who"))
+    said = calls.ranked(rows.where("__who <> 'Switch'"), [dialogue], [turn], "__at")
+    said = relational.settled(said)
+    earlier = said.select(F.col(dialogue).alias("__dialogue"), (F.col("__at") + 1).alias("__next"), F.col("__who").alias("before"))
+    met = said.join(earlier, F.col(dialogue).eqNullSafe(F.col("__dialogue")) & (F.col("__at") == F.col("__next")), "left")
+    opening = F.col("before").isNull() & (F.col("__who") == "User")
+    allowed = F.when(F.col("before").isNull(), opening).when(F.col("before") == "", False).otherwise(F.array_contains(following(F.col("before")), F.col("__who")))
+    wrong = met.where(~allowed).select(dialogue, F.col(turn), F.coalesce("before", F.lit("")).alias("before"), F.col("__who").alias("speaker"))
+    first = wrong.groupBy(F.col(dialogue).alias("__d")).agg(F.min_by(F.struct(turn, "before", "speaker"), turn).alias("w"))
+    every = messages.select(dialogue).distinct()
+    found = every.join(first, F.col(dialogue).eqNullSafe(F.col("__d")), "left")
+    return found.select(dialogue, F.col(f"w.{turn}").alias(turn), "w.before", "w.speaker")
+
+
 CONTROL_TOOLS = [
     {
         "type": "function",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,6 +198,16 @@ def kmeans_step(spark, d):
     return found.select("id", F.col("cluster").cast("long").alias("cluster"))
 
 
+def kmeans_round(spark, d):
+    """One whole round from the first eight vectors: the means of their members, by dimension."""
+    from tallgrass.operators import terms
+
+    rows = _vectors(spark, d)
+    start = np.array([r["v"] for r in rows.where("id < 8").orderBy("id").collect()])
+    found = terms.centroid_step(rows, start).select(F.col("cluster").cast("long").alias("cluster"), "n", F.posexplode("mean").alias("place", "x"))
+    return found.select("cluster", "n", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("mean"))
+
+
 def kmeans(spark, d):
     from tallgrass.operators import terms
 
@@ -215,7 +226,7 @@ QUERIES = {
     for f in (
         knn_topk, knn_typed, isolated, gap_counts, quality_report, dash_warnings, gold_rule1, gold_rule2, gold_rule3_set, gold_rule3_greedy,
         gold_pipeline, gold_pipeline_set, dedupe_first, dedupe_last, union_tagged, except_by_name, chunk_groups, topk_distinct_name,
-        offset_limit, resume_anti, run_ids_semi, positional_join, upsert_latest, dash_stats, kmeans_step, kmeans, retrieve_topk,
+        offset_limit, resume_anti, run_ids_semi, positional_join, upsert_latest, dash_stats, kmeans_step, kmeans_round, kmeans, retrieve_topk,
         gap_total, dash_fill, gold_report,
     )
 }
@@ -325,6 +336,11 @@ round(count(*) FILTER (tool_type = 'synthetic') / count(DISTINCT CASE WHEN tool_
     "kmeans_step": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 x AS (SELECT a.vec_id AS id, b.vec_id AS cluster, list_distance(a.e, b.e) AS far FROM v a JOIN v b ON b.vec_id < 8)
 SELECT id, cluster FROM x QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(far, 12), cluster) = 1""",
+    "kmeans_round": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+x AS (SELECT a.vec_id AS id, b.vec_id AS cluster, list_distance(a.e, b.e) AS far FROM v a JOIN v b ON b.vec_id < 8),
+c AS (SELECT id, cluster FROM x QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(far, 12), cluster) = 1),
+p AS (SELECT cluster, generate_subscripts(e, 1) - 1 AS place, unnest(e) AS x FROM c JOIN v ON vec_id = id)
+SELECT cluster, count(*) AS n, place, round(avg(x), 6) AS mean FROM p GROUP BY cluster, place""",
     "retrieve_topk": f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 x AS (SELECT a.vec_id AS query, b.vec_id AS item, list_cosine_similarity(a.e, b.e) AS raw FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
 SELECT query, item, round(raw, 6) AS similarity, row_number() OVER (PARTITION BY query ORDER BY raw DESC, item) AS rank

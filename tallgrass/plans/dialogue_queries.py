@@ -176,21 +176,18 @@ def dag_levels(spark, d):
     return found.select("task", F.col("node").cast("long").alias("node"), F.col("level").cast("long").alias("level"))
 
 
-def _graphs(spark):
-    graphs = [
-        ("chain", [("a", []), ("b", [0]), ("c", [1])], [["a"], ["b"], ["c"]]),
-        ("fork", [("a", []), ("b", []), ("c", [0, 1])], [["b", "a"], ["c"]]),
-        ("same", [("f", []), ("f", []), ("c", [0, 1])], [["f"], ["f"], ["c"]]),
-        ("two and one", [("f", []), ("f", []), ("g", [])], [["g"], ["g"]]),
-        ("three", [("a", []), ("b", []), ("c", [])], [["a", "b"], ["c"]]),
-        ("asks", [(dag.ASK, []), ("a", [0]), (dag.ANSWER, [1])], [None, ["a"], None]),
-    ]
-    return spark.createDataFrame(graphs, "name string, nodes array<struct<name:string,deps:array<int>>>, told array<array<string>>")
+def _named_graphs(spark, d):
+    """task, nodes: conversations as graphs whose turns have names of their own."""
+    rows = _nodes(spark, d).select("task", F.struct("node", F.concat(F.lit("turn "), "node").alias("name"), "deps").alias("x"))
+    graphs = rows.groupBy("task").agg(F.array_sort(F.collect_list("x")).alias("x"))  # a conversation's turns
+    return graphs.select("task", F.transform("x", lambda n: F.struct(n["name"].alias("name"), n["deps"].alias("deps"))).alias("nodes"))
 
 
 def dag_paths(spark, d):
-    found = _graphs(spark).select("name", dag.paths_column(F.col("nodes"))["paths"].alias("paths"))
-    return found.select("name", F.posexplode("paths").alias("nth", "path")).select("name", "nth", F.to_json("path").alias("path"))
+    """All executions of the conversations' graphs."""
+    graphs = relational.settled(_named_graphs(spark, d))
+    found = graphs.select("task", dag.paths_column(F.col("nodes"))["paths"].alias("paths"))
+    return found.select("task", F.explode("paths").alias("path")).select("task", F.to_json("path").alias("path"))
 
 
 def step_match(spark, d):
@@ -282,7 +279,21 @@ def history_messages(spark, d):
 
 
 def task_paths(spark, d):
-    return dialogue.task_paths(spark, 4).select(F.array_join("path", ">").alias("path"))
+    """A path of task types for each turn of a conversation: that of its number among all of up to four tasks."""
+    turns = _t(spark, d, "conversations").select("conv_id", "turn")
+    return turns.select("conv_id", "turn", F.array_join(dialogue.path_at(F.col("conv_id") * 8 + F.col("turn"), 4), ">").alias("path"))
+
+
+def illegal_turns(spark, d):
+    """The first turn of each conversation that the state machine doesn't allow, with speakers by turn and role."""
+    turn = F.col("turn")
+    name = (
+        F.when(turn % 7 == 5, "Switch")
+        .when(F.col("role") == "user", F.when(turn % 4 == 2, "Tool").otherwise("User"))
+        .when(F.col("role") == "assistant", F.when(turn % 4 == 3, "Agent").when((F.col("conv_id") + turn) % 5 == 0, "Checker").otherwise("Planner"))
+    )
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.concat(name, F.lit(": "), "text").alias("content"))
+    return dialogue.first_illegal(rows, "conv_id", "turn")
 
 
 def transcript_clean(spark, d):
@@ -347,7 +358,7 @@ QUERIES = {
     for f in (
         last_user_query, context_query, context_query_tail, instruct_query, rerank_sanitize, schema_fix, schema_validate, arg_check_flat,
         arg_check_nested, answer_compare, str_similarity, plan_rules, tool_rules, dag_indegree, dag_levels, dag_paths, step_match,
-        params_label, task_paths, transcript_clean, call_forms, call_pairs, message_ids, param_split, history_messages,
+        params_label, task_paths, transcript_clean, call_forms, call_pairs, message_ids, param_split, history_messages, illegal_turns,
     )
 }
 
@@ -438,8 +449,32 @@ CAST(len(list_distinct(list_filter([turn // 2, turn // 3], lambda x: x < turn)))
 l AS (SELECT conv_id, turn, 0 AS level FROM conversations WHERE turn = 0
   UNION SELECT e.conv_id, e.turn, l.level + 1 FROM e JOIN l ON e.conv_id = l.conv_id AND e.dep = l.turn AND e.dep < e.turn)
 SELECT conv_id AS task, CAST(turn AS BIGINT) AS node, CAST(max(level) AS BIGINT) AS level FROM l GROUP BY 1, 2""",
-    "task_paths": """WITH t AS (SELECT unnest(['ST', 'MT', 'CQ', 'CC']) AS x) SELECT x AS path FROM t UNION ALL SELECT a.x || '>' || b.x FROM t a, t b
-UNION ALL SELECT a.x || '>' || b.x || '>' || c.x FROM t a, t b, t c UNION ALL SELECT a.x || '>' || b.x || '>' || c.x || '>' || d.x FROM t a, t b, t c, t d""",
+    "task_paths": """WITH t AS (SELECT unnest(['ST', 'MT', 'CQ', 'CC']) AS x, unnest(range(4)) AS i),
+p AS (SELECT i AS n, x AS path FROM t UNION ALL SELECT 4 + 4 * a.i + b.i, a.x || '>' || b.x FROM t a, t b
+UNION ALL SELECT 20 + 16 * a.i + 4 * b.i + c.i, a.x || '>' || b.x || '>' || c.x FROM t a, t b, t c
+UNION ALL SELECT 84 + 64 * a.i + 16 * b.i + 4 * c.i + d.i, a.x || '>' || b.x || '>' || c.x || '>' || d.x FROM t a, t b, t c, t d)
+SELECT conv_id, turn, path FROM conversations JOIN p ON n = (conv_id * 8 + turn) % 340""",
+    "illegal_turns": """WITH RECURSIVE s AS (SELECT conv_id, turn, CASE WHEN turn % 7 = 5 THEN 'Switch' WHEN role = 'user' THEN CASE WHEN turn % 4 = 2 THEN 'Tool' ELSE 'User' END
+  WHEN role = 'assistant' THEN CASE WHEN turn % 4 = 3 THEN 'Agent' WHEN (conv_id + turn) % 5 = 0 THEN 'Checker' ELSE 'Planner' END ELSE '' END AS who FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM s WHERE who <> 'Switch'),
+ok AS (SELECT unnest(['User', 'Tool', 'Checker', 'Checker', 'Checker', 'Planner', 'Planner', 'Planner', 'Agent']) AS before,
+  unnest(['Planner', 'Planner', 'Planner', 'Tool', 'Agent', 'Checker', 'Tool', 'Agent', 'User']) AS after),
+w AS (SELECT conv_id, nth, who, NULL::BIGINT AS turn, NULL::VARCHAR AS before FROM r WHERE nth = 1 AND who = 'User'
+  UNION ALL SELECT conv_id, nth, who, turn, '' AS before FROM r WHERE nth = 1 AND who <> 'User'
+  UNION ALL SELECT r.conv_id, r.nth, r.who, CASE WHEN NOT EXISTS (SELECT 1 FROM ok WHERE ok.before = w.who AND ok.after = r.who) THEN r.turn END, w.who
+  FROM w JOIN r ON r.conv_id = w.conv_id AND r.nth = w.nth + 1 WHERE w.turn IS NULL)
+SELECT c.conv_id, w.turn, w.before, CASE WHEN w.turn IS NOT NULL THEN w.who END AS speaker
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT * FROM w WHERE turn IS NOT NULL) w USING (conv_id)""",
+    "dag_paths": """WITH RECURSIVE n AS (SELECT DISTINCT conv_id AS task, CAST(turn AS INT) AS turn,
+  (SELECT coalesce(bit_or(1 << CAST(x AS INT)), 0) FROM unnest(list_filter([turn // 2, turn // 3], lambda x: x < turn)) u(x)) AS needs FROM conversations),
+m AS (SELECT task, mask, bit_or(needs) AS needs, '[' || string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) || ']' AS step
+  FROM n JOIN (SELECT unnest(range(1, 256)) AS mask) s ON (mask >> turn) & 1 = 1 GROUP BY task, mask
+  HAVING count(*) = bit_count(mask)),
+t AS (SELECT task, (1 << CAST(count(*) AS INT)) - 1 AS whole FROM n GROUP BY 1),
+p AS (SELECT task, 0 AS done, '' AS path FROM t
+  UNION ALL SELECT p.task, p.done | m.mask, p.path || CASE WHEN p.path = '' THEN '' ELSE ',' END || m.step
+  FROM p JOIN m ON m.task = p.task AND m.mask & p.done = 0 AND m.needs & ~p.done = 0)
+SELECT task, '[' || path || ']' AS path FROM p JOIN t USING (task) WHERE done = whole""",
     "transcript_clean": """SELECT conv_id, coalesce(string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) FILTER (
 turn % 5 NOT IN (2, 3) AND NOT (conv_id % 2 = 0 AND turn % 5 = 1 AND turn + 2 <= last)), '') AS turns
 FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) GROUP BY 1""",
