@@ -73,3 +73,46 @@ def progress(tasks: DataFrame, kinds: Sequence[str]) -> DataFrame:
     """Steps done over steps expected among the given kinds, each and in all."""
     rows = tasks.where(F.col("kind").isin(*kinds))
     return by_keys(rows, F.array(F.col("kind"), F.lit("Total")), [*kinds, "Total"], F.col("done"), F.col("expected"))
+
+
+# ---- latency and tokens of steps ----
+
+#: Size of a quantile sketch: ranks are off by about 1.3 % of the rows, in 99 of 100 cases.
+SKETCH = 200
+
+
+def step_values(results: DataFrame) -> DataFrame:
+    """model, task, step, latency, input_tokens, output_tokens from results with an array of each, one value a step.
+
+    Arrays of different lengths are filled up with nulls; a task without steps has no row.
+    """
+    zipped = F.arrays_zip(*(F.coalesce(F.col(c), F.array()).alias(c) for c in ("latency", "input_tokens", "output_tokens")))
+    rows = results.select("model", "task", F.posexplode(zipped).alias("step", "v"))
+    return rows.select("model", "task", "step", "v.latency", "v.input_tokens", "v.output_tokens")
+
+
+def quantile_sketches(rows: DataFrame, key: Sequence[str], value: str, size: int = SKETCH) -> DataFrame:
+    """key, n, total, least, most, sketch: a mergeable quantile sketch (KLL) of each key's values; nulls are left out."""
+    x = F.col(value).cast("double")
+    known = rows.where(x.isNotNull())
+    return known.groupBy(*key).agg(
+        F.count(x).alias("n"), F.sum(x).alias("total"), F.min(x).alias("least"), F.max(x).alias("most"), F.kll_sketch_agg_double(x, size).alias("sketch")
+    )
+
+
+def write_sketches(rows: DataFrame, key: Sequence[str], value: str, path: str, batch: str, size: int = SKETCH) -> None:
+    """A batch's sketches into a folder of its own, in place of an earlier attempt, so that a retry counts once."""
+    quantile_sketches(rows, key, value, size).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def merged_sketches(sketches: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row for each key from the sketches of any number of batches; values are not read again."""
+    return sketches.groupBy(*key).agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"), F.kll_merge_agg_double("sketch").alias("sketch")
+    )
+
+
+def quantiles(sketches: DataFrame, at: Sequence[float]) -> DataFrame:
+    """The rows with their mean and `quantiles`, an array of struct(at, value), in place of the sketch."""
+    values = F.array(*(F.struct(F.lit(float(q)).alias("at"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))).alias("value")) for q in at))
+    return sketches.withColumn("mean", F.col("total") / F.col("n")).withColumn("quantiles", values).drop("sketch")

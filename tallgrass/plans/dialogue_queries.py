@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions import schemas
 from tallgrass.operators import call_checks, calls, dag, dialogue, evaluation, relational, retrieval, vectors
+from tallgrass.streaming import sessions
 
 def _t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -353,12 +354,18 @@ def param_split(spark, d):
     return rows.select("p_partkey", F.array_join("x.required", ",").alias("required"), F.array_join("x.optional", ",").alias("optional"))
 
 
+def session_turns(spark, d):
+    """Conversations as sessions of two questions at most, which a word ends."""
+    turns = _t(spark, d, "conversations").select(F.col("conv_id").alias("conversation"), "turn", "role", F.col("text").alias("content"))
+    return sessions.batch_sessions(turns, 2, "ble.").select("conversation", "turn", "role", "questions", "ends")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         last_user_query, context_query, context_query_tail, instruct_query, rerank_sanitize, schema_fix, schema_validate, arg_check_flat,
         arg_check_nested, answer_compare, str_similarity, plan_rules, tool_rules, dag_indegree, dag_levels, dag_paths, step_match,
-        params_label, task_paths, transcript_clean, call_forms, call_pairs, message_ids, param_split, history_messages, illegal_turns,
+        params_label, task_paths, transcript_clean, call_forms, call_pairs, message_ids, param_split, history_messages, illegal_turns, session_turns,
     )
 }
 
@@ -371,6 +378,10 @@ FILTER (trim(text) <> '') AS t FROM conversations GROUP BY 1)
 """
 
 SQL = {
+    "session_turns": """WITH RECURSIVE w AS (SELECT conv_id, -1::BIGINT AS turn, NULL::VARCHAR AS role, 0 AS questions, false AS ends FROM (SELECT DISTINCT conv_id FROM conversations)
+UNION ALL SELECT c.conv_id, c.turn, c.role, questions + CAST(c.role = 'user' AS INT), c.text LIKE '%ble.%' OR (c.role = 'assistant' AND questions = 2)
+  FROM w JOIN conversations c ON c.conv_id = w.conv_id AND c.turn = w.turn + 1 WHERE NOT ends AND questions + CAST(c.role = 'user' AS INT) <= 2)
+SELECT conv_id AS conversation, turn, role, CAST(questions AS BIGINT) AS questions, ends FROM w WHERE turn >= 0""",
     "last_user_query": _LAST + "SELECT request, query FROM q",
     "context_query": _CONTEXT + "SELECT request, coalesce(left(t, 2000), '') AS query FROM x",
     "context_query_tail": _CONTEXT + "SELECT request, coalesce(right(t, 2000), '') AS query FROM x",

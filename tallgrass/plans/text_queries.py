@@ -11,6 +11,9 @@ from tallgrass.operators import metrics, terms
 from tallgrass.operators.relational import settled
 from tallgrass.operators.vectors import nearest
 
+#: A sketch's ranks may be off by so much of the rows.
+NEAR = 0.03
+
 _WORDS = ", ".join(f"'{w}'" for w in STOPWORDS)
 _TERMS = f"""
 WITH words AS (SELECT doc_id AS id, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS term FROM documents),
@@ -138,11 +141,29 @@ def search_filter(spark, d):
     return parts.where(hit).select("p_partkey", "p_name", "p_type")
 
 
+def latency_sketches(spark, d):
+    """Quantile sketches of the events' values by type and step, made in five batches and merged; whether ranks are near.
+
+    A quantile's true rank is the share of values up to it.
+    """
+    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("model"), (F.col("event_id") % 4).alias("step"), (F.col("event_id") % 5).alias("batch"), "value")
+    parts = metrics.quantile_sketches(events, ["model", "step", "batch"], "value")
+    found = settled(metrics.quantiles(metrics.merged_sketches(parts, ["model", "step"]), [0.1, 0.5, 0.9, 0.99]))
+    points = found.select("model", "step", "n", F.inline("quantiles"))
+    key = ["model", "step"]
+    met = events.withColumnRenamed("value", "x").join(points, key).groupBy(*key, "at")
+    share = lambda c: F.count_if(c) / F.first("n")
+    ranks = met.agg(share(F.col("x") <= F.col("value")).alias("upto"), share(F.col("x") < F.col("value")).alias("below"))
+    near = ranks.groupBy(*key).agg(F.bool_and((F.col("upto") >= F.col("at") - NEAR) & (F.col("below") <= F.col("at") + NEAR)).alias("near"))
+    rounded = lambda c: F.round(c, 4).alias(c)
+    return found.join(near, key).select(*key, "n", rounded("total"), "least", "most", rounded("mean"), "near")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         vocab, tfidf, tfidf_topwords, tfidf_neighbors, svd_neighbors, cluster_labels, cluster_overview, task_stats, acc_total,
-        acc_type_rollup, acc_layer, acc_turn_subtype, optimal_rate, progress_rate, tool_text, search_filter,
+        acc_type_rollup, acc_layer, acc_turn_subtype, optimal_rate, progress_rate, tool_text, search_filter, latency_sketches,
     )
 }
 
@@ -168,6 +189,8 @@ FROM k LEFT JOIN c USING (key)"""
 
 
 SQL = {
+    "latency_sketches": """SELECT event_type AS model, event_id % 4 AS step, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most,
+round(avg(value), 4) AS mean, true AS near FROM events GROUP BY 1, 2""",
     "vocab": _TERMS + "SELECT term, n FROM vocab",
     "tfidf": _TERMS + "SELECT id, term, round(weight, 6) AS weight FROM weights",
     "tfidf_topwords": _TERMS + "SELECT term, round(sum(weight), 6) AS total FROM weights GROUP BY 1 ORDER BY total DESC, term LIMIT 20",
