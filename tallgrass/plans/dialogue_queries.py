@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallgrass.functions import schemas
-from tallgrass.operators import call_checks, calls, dag, dialogue, evaluation, relational, retrieval, vectors
+from tallgrass.operators import call_checks, calls, dag, dialogue, evaluation, records, relational, retrieval, vectors
 from tallgrass.streaming import sessions
 
 def _t(spark, d, name):
@@ -360,12 +360,59 @@ def session_turns(spark, d):
     return sessions.batch_sessions(turns, 2, "ble.").select("conversation", "turn", "role", "questions", "ends")
 
 
+def _records(spark, d):
+    """Events as benchmark records: lists of tools and tasks under both names; some prefixed lists are empty, some absent."""
+    n = F.col("event_id")
+    tool = lambda k: F.concat(F.lit('{"function": {"name": "t'), (n * k) % 40, F.lit('"}}'))
+    english = F.when(n % 3 == 0, F.concat(F.lit('"english_tools": ['), tool(1), F.lit(", "), tool(7), F.lit('], "english_tasks": [" plain ", {"input": "inner '), "event_type", F.lit('"}], ')))
+    english = english.when(n % 3 == 1, F.lit('"english_tools": [], "english_tasks": [], ')).otherwise("")
+    json = F.concat(F.lit("{"), english, F.lit('"tools": ["t'), n % 60, F.lit('", {"name": "t'), n % 7, F.lit('"}], "tasks": [{"x": '), n % 5, F.lit("}]}"))
+    return _t(spark, d, "events").select(n.alias("id"), json.alias("json"))
+
+
+def _catalog(spark, d):
+    return _t(spark, d, "part").where("p_partkey < 50").select(F.concat(F.lit("t"), "p_partkey").alias("name"))
+
+
+def _task_counts(found):
+    return found.groupBy("name", "text").agg(F.count(F.lit(1)).alias("n"), F.min("ord.id").alias("first"))
+
+
+def catalog_tasks(spark, d):
+    """Tasks of the catalog's tools, from records whose prefixed lists count if they have elements."""
+    return _task_counts(records.catalog_tasks(_records(spark, d), _catalog(spark, d)))
+
+
+def catalog_tasks_present(spark, d):
+    """The same, where prefixed lists count if they are there at all, and texts stay as they are."""
+    return _task_counts(records.catalog_tasks(_records(spark, d), _catalog(spark, d), by="present", strip=False))
+
+
+def tool_info(spark, d):
+    """What the parts' tools take, as a sentence."""
+    words = F.split("p_name", " ")
+    properties = F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), w, F.lit('": {}'))), ", ")
+    json = F.concat(F.lit('{"function": {"parameters": {"properties": {'), properties, F.lit('}, "required": ["'), words[0], F.lit('"]}}}'))
+    tools = _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("name"), json.alias("json"))
+    return records.told_info(records.tool_info(tools))
+
+
+def generated_tools(spark, d):
+    """Replies made of the parts' rows: a comment, a fence, a definition with a reason, one without a name, no JSON."""
+    line = F.concat(F.lit('{"function": {"name": "'), "p_name", F.lit('"}, "reason": "none"'), F.when(F.col("p_size") % 2 == 0, ', "type": "tool"').otherwise(""), F.lit("}"))
+    reply = F.concat_ws("\n", F.lit("# tools"), F.lit("```json"), line, F.lit('{"function": {}}'), F.lit("  "), F.lit("that is all"), F.lit("```"))
+    made = F.explode(records.generated_tools(reply)).alias("json")
+    rows = _t(spark, d, "part").select("p_partkey", made)
+    return rows.select("p_partkey", F.get_json_object("json", "$.type").alias("type"), F.get_json_object("json", "$.function.name").alias("name"), F.array_join(F.array_sort(F.json_object_keys("json")), ",").alias("fields"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         last_user_query, context_query, context_query_tail, instruct_query, rerank_sanitize, schema_fix, schema_validate, arg_check_flat,
         arg_check_nested, answer_compare, str_similarity, plan_rules, tool_rules, dag_indegree, dag_levels, dag_paths, step_match,
         params_label, task_paths, transcript_clean, call_forms, call_pairs, message_ids, param_split, history_messages, illegal_turns, session_turns,
+        catalog_tasks, catalog_tasks_present, tool_info, generated_tools,
     )
 }
 
@@ -378,6 +425,21 @@ FILTER (trim(text) <> '') AS t FROM conversations GROUP BY 1)
 """
 
 SQL = {
+    "catalog_tasks": """WITH r AS (SELECT event_id AS id, event_id % 3 = 0 AS english, event_id % 3 <> 0 AS plain, event_type FROM events),
+t AS (SELECT id, 't' || (id * k) % 40 AS name FROM r, (SELECT unnest([1, 7]) AS k) WHERE english
+  UNION ALL SELECT id, 't' || id % k FROM r, (SELECT unnest([60, 7]) AS k) WHERE plain),
+x AS (SELECT id, 'plain' AS text FROM r WHERE english UNION ALL SELECT id, 'inner ' || event_type FROM r WHERE english
+  UNION ALL SELECT id, '{"x":' || id % 5 || '}' FROM r WHERE plain)
+SELECT name, text, count(*) AS n, min(id) AS first FROM t JOIN x USING (id) WHERE name IN (SELECT 't' || p_partkey FROM part WHERE p_partkey < 50) GROUP BY 1, 2""",
+    "catalog_tasks_present": """WITH r AS (SELECT event_id AS id, event_id % 3 = 0 AS english, event_id % 3 = 2 AS plain, event_type FROM events),
+t AS (SELECT id, 't' || (id * k) % 40 AS name FROM r, (SELECT unnest([1, 7]) AS k) WHERE english
+  UNION ALL SELECT id, 't' || id % k FROM r, (SELECT unnest([60, 7]) AS k) WHERE plain),
+x AS (SELECT id, ' plain ' AS text FROM r WHERE english UNION ALL SELECT id, 'inner ' || event_type FROM r WHERE english
+  UNION ALL SELECT id, '{"x":' || id % 5 || '}' FROM r WHERE plain)
+SELECT name, text, count(*) AS n, min(id) AS first FROM t JOIN x USING (id) WHERE name IN (SELECT 't' || p_partkey FROM part WHERE p_partkey < 50) GROUP BY 1, 2""",
+    "tool_info": """WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)
+SELECT CAST(p_partkey AS VARCHAR) AS name, 'Tool ' || p_partkey || ' needs [' || w[1] || '] and may be given [' || array_to_string(w[2:], ', ') || '].' AS told FROM w""",
+    "generated_tools": """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'tool' ELSE 'function' END AS type, p_name AS name, 'function,type' AS fields FROM part""",
     "session_turns": """WITH RECURSIVE w AS (SELECT conv_id, -1::BIGINT AS turn, NULL::VARCHAR AS role, 0 AS questions, false AS ends FROM (SELECT DISTINCT conv_id FROM conversations)
 UNION ALL SELECT c.conv_id, c.turn, c.role, questions + CAST(c.role = 'user' AS INT), c.text LIKE '%ble.%' OR (c.role = 'assistant' AND questions = 2)
   FROM w JOIN conversations c ON c.conv_id = w.conv_id AND c.turn = w.turn + 1 WHERE NOT ends AND questions + CAST(c.role = 'user' AS INT) <= 2)
