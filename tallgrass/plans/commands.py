@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallgrass.functions import schemas, text
-from tallgrass.operators import curation, relational, terms, vectors
+from tallgrass.operators import curation, dag, evaluation, records, relational, terms, vectors
 
 
 def rendered(tools: DataFrame) -> DataFrame:
@@ -164,3 +164,87 @@ def evaluate(tasks: DataFrame) -> dict[str, DataFrame]:
         "optimal": metrics.optimal(tasks, ["Parallel Multi-Tool", "Mixed Multi-Tool"]),
         "progress": metrics.progress(tasks, ["Sequential Multi-Tool", "Mixed Multi-Tool"]),
     }
+
+
+# ---- from result files to metrics ----
+
+_LIST = "array<variant>"
+
+
+def _at(value: Column, path: str, kind: str) -> Column:
+    return F.try_variant_get(value, path, kind)
+
+
+def logged_steps(results: DataFrame) -> DataFrame:
+    """dialogue, pos, step, name_label, predicted, gold: the steps of result lines (id, json), calls as arrays of (name, arguments).
+
+    Step numbers are those of the log's keys.  A result that is no list, as of a failed dialogue, has no steps.
+    """
+    told = F.try_parse_json("json")
+    tasks = results.select(F.col("id").alias("dialogue"), F.posexplode(_at(told, "$.result", _LIST)).alias("pos", "t"))
+    log = _at(F.col("t"), "$.inference_log", "map<string,variant>")
+    steps = tasks.select("dialogue", "pos", F.explode(F.map_filter(log, lambda k, _: k.startswith("step_"))).alias("key", "s"))
+
+    def calls_of(path: str, inner: str) -> Column:
+        own = F.coalesce(_at(F.col("s"), path, _LIST), F.array().cast(_LIST))
+        argument = lambda c: F.coalesce(_at(c, f"$.{inner}arguments", "string"), F.to_json(_at(c, f"$.{inner}arguments", "variant")))
+        return F.transform(own, lambda c: F.struct(_at(c, f"$.{inner}name", "string").alias("name"), argument(c).alias("arguments")))
+
+    return steps.select(
+        "dialogue",
+        "pos",
+        F.substring_index("key", "_", -1).cast("int").alias("step"),
+        _at(F.col("s"), "$.inference_output.current_action_name_label", "string").alias("name_label"),
+        calls_of("$.inference_output.tool_calls", "function.").alias("predicted"),
+        calls_of("$.inference_answer.candidate_0_answer_function_list.action", "").alias("gold"),
+    )
+
+
+def score(results: DataFrame, benchmark: DataFrame) -> dict[str, DataFrame]:
+    """labels and the six metrics of a model's result lines against the benchmark's records, both id and json text.
+
+    A task's calls are checked by the definitions of its own record, under which floats are numbers; equal definitions
+    of several records are one.  All tasks of a dialogue that failed (its result is no list) are wrong; dialogues without
+    a result line don't count.
+    """
+    record = F.try_parse_json("json")
+    own = benchmark.select(F.col("id").alias("dialogue"), record.alias("r"), "json")
+    definitions = own.select("dialogue", F.explode(records.chosen(F.col("json"), "tools")).alias("tool"))
+    definitions = definitions.select("dialogue", records.tool_name(F.col("tool")).alias("name"), F.regexp_replace(F.to_json("tool"), r'"type"\s*:\s*"float"', '"type":"number"').alias("json"))
+    parameters = F.coalesce(F.get_json_object("json", "$.function.parameters"), F.get_json_object("json", "$.parameters"), F.lit("{}"))
+    definitions = definitions.select("dialogue", "name", parameters.alias("parameters")).where("name IS NOT NULL")
+    definitions = relational.settled(definitions.withColumn("tool", F.concat("name", F.lit("#"), F.sha2("parameters", 256))))
+
+    steps = relational.settled(logged_steps(results))
+    control = F.coalesce(F.col("gold")[0]["name"].isin(dag.ASK, dag.ANSWER), F.lit(False))
+    steps = steps.withColumn("control", control).withColumn("task", F.concat_ws("|", "dialogue", "pos"))
+    looked = steps.where("name_label = 'correct' AND NOT control")
+
+    def side(calls: str) -> DataFrame:
+        rows = looked.select("dialogue", "task", "step", F.inline(calls))
+        met = rows.join(definitions.select("dialogue", "name", "tool"), ["dialogue", "name"], "left")
+        return met.select("task", "step", F.coalesce("tool", F.concat("name", F.lit("#"))).alias("name"), "arguments")
+
+    # of a name that a record defines twice the definitions are one after the other; the last counts
+    definitions = relational.settled(definitions.groupBy("dialogue", "name").agg(F.max(F.struct("tool", "parameters")).alias("d")).select("dialogue", "name", "d.*"))
+    known = definitions.select(F.col("tool").alias("name"), "parameters").distinct()
+    pairs = evaluation.checked_pairs(side("predicted"), side("gold"), known, ["task", "step"])
+
+    told = F.try_parse_json("json")
+    listed = _at(told, "$.result", _LIST)
+    kinds = own.select("dialogue", F.posexplode(_at(F.col("r"), "$.english_task_types", "array<string>")).alias("pos", "kind"), "r")
+    subtypes, answers = _at(F.col("r"), "$.english_turn_subtypes", "array<string>"), F.coalesce(*(_at(F.col("r"), f"$.{name}", "array<array<variant>>") for name in ("english_answer_list", "answer_list")))
+    kinds = kinds.select("dialogue", "pos", "kind", F.get(subtypes, F.col("pos") - 1).alias("subtype"), F.coalesce(F.size(F.get(answers, F.col("pos"))), F.lit(0)).alias("expected"))
+    done = results.select(F.col("id").alias("dialogue"), listed.alias("l"))
+    tasks = done.join(kinds, "dialogue").withColumn("t", F.get("l", F.col("pos"))).where("l IS NULL OR t IS NOT NULL")
+    tasks = tasks.select(
+        "dialogue", "pos", "kind", "subtype", "expected", F.concat_ws("|", "dialogue", "pos").alias("task"),
+        F.coalesce(_at(F.col("t"), "$.action_name_label", "string"), F.lit("error")).alias("name_label"),
+        F.coalesce(_at(F.col("t"), "$.is_optimal", "boolean"), F.lit(False)).alias("is_optimal"),
+    )
+    tasks = relational.settled(tasks)
+    labels = evaluation.task_labels(tasks.select("task", "name_label", "is_optimal"), evaluation.step_labels(steps, pairs))
+    found = tasks.select("task", "dialogue", "pos", "kind", "subtype", "expected").join(labels, "task")
+    found = found.withColumn("correct", F.col("label") == evaluation.CORRECT).withColumnRenamed("steps", "done")
+    found = relational.settled(found)
+    return {"labels": found.drop("task")} | evaluate(found)
