@@ -1,4 +1,4 @@
-"""Training-data operators: ten named operators and the queries that apply them.
+"""Training-data operators: thirteen named operators and the queries that apply them.
 
 Nothing outside this subpackage imports it.
 """

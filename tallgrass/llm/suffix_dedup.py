@@ -318,7 +318,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         whole.unionByName(_by_index(texts, unlike.where(f"kinds <= {HOT}"), doc, length))
         .unionByName(_by_windows(texts, unlike.where(f"kinds > {HOT}"), doc, length))
         .groupBy(*doc)
-        .agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+        .agg(F.collect_set(F.struct("start", "end")).alias("ranges"))  # as often as the document is repeated, each is the same
     )
 
     @F.arrow_udf("struct<spans:array<struct<start:int,end:int>>,kept:binary>")
@@ -361,7 +361,10 @@ def _with_text(texts: DataFrame, kinds: DataFrame, doc: list[str]) -> DataFrame:
     per_doc = cut(
         kinds.groupBy(*doc).agg(F.collect_list(F.struct("anchor", "n", "start", "size")).alias("own"))  # bounded by the text
     )
-    texts = _parted(texts, per_doc, doc)[0]
+    texts = _parted(texts, per_doc, doc)[0].select(*doc, "text")
+    repeated = texts.groupBy(*doc).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.isEmpty():  # rows that repeat a document are one here
+        texts = texts.dropDuplicates(doc)
     found = texts.join(per_doc, doc)
     raw = F.col("text").cast("binary")
     pieces = F.transform(

@@ -568,3 +568,24 @@ def test_broken_batch_is_not_counted(spark, tmp_path):
     (tmp_path / "r/totals/batch=a/_SUCCESS").unlink()
     assert store.totals().collect() == [] and store.commit("a", rows)
     assert [(r["docs"], r["tokens"]) for r in store.totals().collect()] == [(1, 5)]
+
+
+def test_rows_that_repeat_a_document_are_read_once(spark, monkeypatch):
+    """A document that comes 300 times, and null ids of one text, beside a variant: each kind of fragment is gathered once."""
+    rnd = random.Random(12)
+    base = "".join(rnd.choice("abcdefgh ") for _ in range(2000))
+    variant = base[:900] + "XYZ" + base[900:]
+    texts = [(1, base)] * 300 + [(None, base)] * 50 + [(2, variant), (3, "other " * 80)]
+    gathered = []
+
+    def counted(texts, kinds, doc, own=suffix_dedup._with_text):
+        found = own(texts, kinds, doc)
+        gathered.append((kinds.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(suffix_dedup, "_with_text", counted)
+    got = {(r["doc_id"], r["n_bytes"]): bytes(r["kept"]).decode() for r in suffix_dedup.repeats(docs_of(spark, texts)).collect()}
+    assert gathered and all(kinds == rows for kinds, rows in gathered) and any(kinds for kinds, _ in gathered)
+    assert got[1, 2000] == got[None, 2000] == ""
+    around = variant[900 - 199 : 903 + 199]  # windows of 200 bytes that hold the inserted ones
+    assert got[2, 2003] == "XYZ" and "XYZ" in around

@@ -18,6 +18,14 @@ COLUMNS = {
 }
 
 
+def test_all_operators_have_a_query_that_the_driver_sees():
+    import __spark_entry__
+
+    numbers = [int(name[2:].split("_")[0]) for name in queries.queries()]
+    assert sorted(numbers) == list(range(1, 14))
+    assert set(queries.queries()) | {"pipeline"} <= set(__spark_entry__.queries())
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
