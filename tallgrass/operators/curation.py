@@ -134,11 +134,15 @@ def filled(edges: DataFrame, synthetic: DataFrame, most: int = 5) -> DataFrame:
     return near.unionByName(made).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("at")
 
 
+def kept(original: DataFrame, found: DataFrame) -> DataFrame:
+    """tool_name, tool_type: the original tools and those of `judged` that break no rule."""
+    both = original.select("tool_name", F.lit(ORIGINAL).alias("tool_type"))
+    return both.unionByName(found.where("rule = 0").select("tool_name", F.lit(SYNTHETIC).alias("tool_type")))
+
+
 def gold(synthetic: DataFrame, original: DataFrame, edges: DataFrame, unrelated_at=UNRELATED, cross_at=CROSS_PARENT, mode="greedy") -> DataFrame:
     """Original tools and the synthetic ones that pass all three rules."""
-    three = judged(synthetic, original, edges, unrelated_at, cross_at, mode).where("rule = 0")
-    keep = original.select("tool_name", F.lit(ORIGINAL).alias("tool_type"))
-    return keep.unionByName(three.select("tool_name", F.lit(SYNTHETIC).alias("tool_type")))
+    return kept(original, judged(synthetic, original, edges, unrelated_at, cross_at, mode))
 
 
 def quality(edges: DataFrame, threshold: float = QUALITY) -> DataFrame:

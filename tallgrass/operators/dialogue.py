@@ -200,36 +200,31 @@ def first_illegal(messages: DataFrame, dialogue: str = "dialogue", turn: str = "
     return found.select(dialogue, F.col(f"w.{turn}").alias(turn), "w.before", "w.speaker")
 
 
+def _control(name: str, what: str, required: dict[str, dict]) -> dict:
+    """A definition whose parameters are all required."""
+    parameters = {"type": "object", "properties": required, "required": list(required)}
+    return {"type": "function", "function": {"name": name, "description": what, "parameters": parameters}}
+
+
+#: The control tools' names, their parameters' names and types, and the kinds of an answer.  The descriptions are not fixed.
 CONTROL_TOOLS = [
-    {
-        "type": "function",
-        "function": {
-            "name": ASK,
-            "description": "Ask the user for required parameters of a tool that the task leaves open.",
-            "parameters": {
-                "type": "object",
-                "properties": {
-                    "tool_name": {"type": "string", "description": "The tool that the task needs"},
-                    "missing_required_parameters": {"type": "array", "description": "What is missing", "items": {"type": "string"}},
-                },
-                "required": ["tool_name", "missing_required_parameters"],
-            },
-        },
-    },
-    {
-        "type": "function",
-        "function": {
-            "name": ANSWER,
-            "description": "Answer the user, as the task can now be completed.",
-            "parameters": {
-                "type": "object",
-                "properties": {"answer_type": {"type": "string", "description": "From tool results, or a chat", "enum": ["tool", "chat"]}},
-                "required": ["answer_type"],
-            },
-        },
-    },
+    _control(
+        ASK,
+        "Stop and let the user fill in what a call still lacks.",
+        {"tool_name": {"type": "string"}, "missing_required_parameters": {"type": "array", "items": {"type": "string"}}},
+    ),
+    _control(ANSWER, "All calls are done, or none is needed.", {"answer_type": {"type": "string", "enum": ["tool", "chat"]}}),
 ]
 
+#: How a user goes on after an answer, and how many variants of each there are to draw from.
+FOLLOW_UPS = {"reference": 7, "omission": 4, "addition": 2, "modification": 2, "continuation": 5, "switch": 2}
+
+
+def follow_up(*seed: Column | str) -> Column:
+    """A struct of style and variant (from 0), all variants being equally likely, by a hash of the seed columns."""
+    options = [F.struct(F.lit(style).alias("style"), F.lit(n).alias("variant")) for style, count in FOLLOW_UPS.items() for n in range(count)]
+    return draw(F.array(*options), *seed)
+
 
 def without_control_tools(tools: Column) -> Column:
     """An array of tool structs with a name, less the two control tools."""

@@ -84,17 +84,23 @@ def quality(original: DataFrame, synthetic: DataFrame, embed: Embedder | None =
 
 
 def rebuild(original: DataFrame, synthetic: DataFrame, embed: Embedder | None = None, k: int = 5, mode: str = "greedy") -> dict[str, DataFrame]:
-    """Dedupe both catalogs, then neighbors, the gold catalog and its report."""
+    """Dedupe both catalogs, then neighbors, the gold catalog and its reports.
+
+    original and synthetic are the deduplicated catalogs, report the counts before and after, rules those by the rule
+    that took a tool.
+    """
     first = lambda df: relational.first_by(df.where(F.col("name").isNotNull()), ["name"], ["ord"])
     kept_original, kept_synthetic = first(original), first(synthetic)
     edges = relational.settled(typed_edges(kept_original, kept_synthetic, embed or tfidf_embedder(), k))
     named = lambda df: df.withColumnRenamed("name", "tool_name")
-    keep = relational.settled(curation.gold(named(kept_synthetic), named(kept_original), edges, mode=mode))
+    judged = relational.settled(curation.judged(named(kept_synthetic), named(kept_original), edges, mode=mode))
+    keep = curation.kept(named(kept_original), judged)
+    rules = curation.gold_report(named(kept_original), judged)
     counts = [df.agg(F.count(F.lit(1)).alias(name)) for name, df in (("original_before", original), ("synthetic_before", synthetic), ("original_after", kept_original), ("synthetic_after", kept_synthetic), ("gold", keep))]
     out = counts[0]
     for one in counts[1:]:
         out = out.join(one, F.lit(True))
-    return {"neighbors": edges, "gold": keep, "report": out}
+    return {"neighbors": edges, "gold": keep, "report": out, "rules": rules, "original": kept_original, "synthetic": kept_synthetic}
 
 
 def regroup(tools: DataFrame, size: int = 5) -> DataFrame:
@@ -138,10 +144,8 @@ def described(made: DataFrame) -> DataFrame:
 
 
 def parsed_lines(reply: Column) -> Column:
-    """array<string> of the tool objects in a model's reply: one a line, without comments and fences."""
-    lines = F.transform(F.split(reply, "\n"), lambda x: F.trim(x))
-    kept = F.filter(lines, lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("```"))
-    return F.filter(kept, lambda x: F.coalesce(F.get_json_object(x, "$.function.name"), F.lit("")) != "")
+    """array<string> of the tool objects in a model's reply (see records.generated_tools)."""
+    return records.generated_tools(reply)
 
 
 def prepare_schemas(tools: DataFrame) -> dict[str, DataFrame]:

@@ -6,6 +6,8 @@ with file, line and place in the line.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,3 +140,12 @@ def task_rows(records: DataFrame) -> DataFrame:
     tasks = records.select("id", F.posexplode("tasks").alias("nth", "text")).where(F.trim(F.coalesce("text", F.lit(""))) != "")
     both = tools.join(tasks, "id")
     return both.select("name", F.struct(id_suffix("id").alias("id"), "at", "nth").alias("ord"), F.trim("text").alias("text"))
+
+
+def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
+    """The first path that exists, in any store that Spark reads; FileNotFoundError with all of them if none does."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            return path
+    raise FileNotFoundError(f"none of these exists: {', '.join(paths)}")

@@ -84,6 +84,9 @@ def test_commands(spark, tmp_path):
     gold = commands.rebuild(original, synthetic, embed, k=3)
     report = gold["report"].first()
     assert report["original_after"] == 6 and report["synthetic_after"] == 7 and 6 <= report["gold"] <= 12
+    rules = gold["rules"].first()
+    assert rules["kept"] + rules["rule1"] + rules["rule2"] + rules["rule3"] == rules["synthetic"] == gold["synthetic"].count() == 7
+    assert rules["rule1"] == 1 and rules["gold"] == report["gold"] and gold["original"].count() == 6
     quality = commands.quality(original, synthetic, embed, k=3)
     assert quality["report"].first()["edges"] == 39
     groups = commands.regroup(original, 4).orderBy("chunk").collect()

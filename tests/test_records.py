@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallgrass.operators import curation, dialogue, records, retrieval, vectors
-from tallgrass.sources import sinks
+from tallgrass.sources import readers, sinks
 
 RECORDS = [
     (1, '{"english_tools": [{"function": {"name": "a"}}, "b", {"name": "c"}, 3, "b"], "tools": ["z"], "english_tasks": [" x ", {"input": " y "}, {"q": 1}, 5, ""], "tasks": ["t"]}'),
@@ -135,3 +135,19 @@ def test_vectors_from_a_cache(spark):
     cache = spark.createDataFrame([("a", [1.0, 2.0])], "text string, v array<double>")
     found = {r["id"]: r["v"] for r in retrieval.with_vectors(rows, "text", cache, 2).collect()}
     assert found[1] == [1.0, 2.0] and found[2] == [0.0, 0.0]
+
+
+def test_follow_ups_are_drawn_alike_on_every_run(spark):
+    rows = spark.range(4400).select(dialogue.follow_up("id").alias("f")).select("f.*")
+    seen: dict = {}
+    for r in rows.collect():
+        seen[r["style"], r["variant"]] = seen.get((r["style"], r["variant"]), 0) + 1
+    assert set(seen) == {(s, n) for s, count in dialogue.FOLLOW_UPS.items() for n in range(count)} and 120 < min(seen.values()) <= max(seen.values()) < 290
+    assert {tuple(r) for r in rows.limit(9).collect()} <= set(seen)
+
+
+def test_first_existing_path(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    assert readers.first_existing(spark, [str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path)]) == str(tmp_path / "b")
+    with pytest.raises(FileNotFoundError):
+        readers.first_existing(spark, [str(tmp_path / "a")])
