@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next one's docs.  All but the last return the columns of documents.
 A doc_id that comes with several texts stays as long as any of its rows does.
+
+Cases, in every stage: an empty table gives an empty one with the same columns.  A null or empty text has no
+language to be told, so the first stage drops it.  Rows of null doc_id are one document: they stay or go together.
+Very long texts are read whole.  Of equal or near texts the least doc_id stays, so there are no ties; rows that repeat
+both doc_id and text stay together.  Further columns are carried through the stages up to the last and read by none.
 """
 
 from __future__ import annotations
