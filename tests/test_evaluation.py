@@ -216,6 +216,18 @@ def test_call_errors_of_odd_rows(spark):
     }
 
 
+def test_definitions_that_no_call_names_are_left_out_and_many_are_not_broadcast(spark, monkeypatch):
+    definitions = spark.range(300).selectExpr("concat('t', id) AS tool", "concat('{\"properties\": {\"a', id % 7, '\": {\"type\": \"integer\"}}}') AS parameters")
+    table = spark.range(50).selectExpr("id", "concat('t', id % 20) AS tool", "concat('{\"a', id % 7, '\": 1}') AS predicted", "CAST(null AS string) AS gold")
+    rules, few, options = call_checks._rules(table, definitions)
+    assert (rules.count(), few, options) == (20, True, False)
+    want = {i: "correct" if i % 20 % 7 == i % 7 else "error_schema: args not defined" for i in range(50)}
+    monkeypatch.setattr(call_checks, "BROADCAST_BYTES", 100)
+    found = call_checks.call_errors(table, definitions)
+    assert {r["id"]: r["result"] for r in found.collect()} == want
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 # ---- replay ----
 
 
