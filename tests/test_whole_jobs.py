@@ -81,3 +81,23 @@ def test_upsert_keeps_orders_that_have_the_number_of_an_added_one(spark, tmp_pat
     con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
     got = sorted(tuple(r) for r in entry.queries()["upsert_latest"](spark, str(tmp_path)).collect())
     assert got == sorted(con.execute(entry.oracle_sql()["upsert_latest"]).fetchall()) and len(got) == 7
+
+
+def test_neighbours_over_terms_by_blocks(spark, monkeypatch):
+    """Small blocks and parts give the brute-force neighbours; equal ones come by id, and what shares no term is none."""
+    monkeypatch.setattr(terms, "DOCUMENTS", 7)
+    monkeypatch.setattr(terms, "QUERIES", 3)
+    monkeypatch.setattr(terms, "QUERY_BYTES", 200)
+    rnd = np.random.RandomState(8)
+    m = rnd.rand(60, 12) * (rnd.rand(60, 12) < 0.3)
+    m[[20, 31, 44]] = m[20]
+    m[50], m[:50, 11], m[51:, 11] = 0, 0, 0
+    m[50, 11] = 1
+    weights = spark.createDataFrame([(int(i), f"t{j}", float(m[i, j])) for i, j in zip(*np.nonzero(m))], "id long, term string, weight double")
+    queries = spark.range(0, 60, 5).toDF("id")
+    got: dict = {}
+    for r in terms.term_similarity(weights, queries, 5).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["item"], r["similarity"]))
+    raw = np.round(m @ m.T, 6)
+    want = {q: [(i, raw[q, i]) for i in sorted(range(60), key=lambda i: (-raw[q, i], i)) if i != q and raw[q, i] > 0][:5] for q in range(0, 60, 5)}
+    assert {q: [(i, x) for _, i, x in sorted(v)] for q, v in got.items()} == {q: v for q, v in want.items() if v} and 50 not in got
