@@ -132,8 +132,8 @@ class Template:
         return [(word, self.value(i)) for i, word in enumerate(words)]
 
 
-def template(text: str, names: int = AS_NAMES) -> Template:
-    """The typed tokens of a text in one of the forms."""
+def raw_tokens(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The raw tokens of a text, and the hashes with classes, places and classes of those that count, alike in all forms."""
     if len(_hashes) > MEMO_TOKENS:
         _hashes.clear()
     raw = (_TOKENS if _BEYOND_LATIN(text) else _LATIN_TOKENS)(text)
@@ -143,6 +143,16 @@ def template(text: str, names: int = AS_NAMES) -> Template:
     stray = (kind == _SYMBOL) & (np.concatenate([[_END], kind])[:-1] != _NUMBER)
     if stray.any():
         coded, at, kind = coded[~stray], at[~stray], kind[~stray]
+    return raw, coded, at, kind
+
+
+def template(text: str, names: int = AS_NAMES) -> Template:
+    """The typed tokens of a text in one of the forms."""
+    return typed(*raw_tokens(text), names)
+
+
+def typed(raw: list[str], coded: np.ndarray, at: np.ndarray, kind: np.ndarray, names: int) -> Template:
+    """The typed tokens of what `raw_tokens` gives, in one of the forms."""
     before = np.concatenate([np.array([_END], np.int8), kind])[:-1]
     unit = ((before == _NUMBER) | (before == _SPELLED)) & ((kind == _UNIT) | (kind == _CAPITAL_UNIT) | (kind == _SYMBOL))
     name = ((kind == _CAPITAL) | (kind == _CAPITAL_UNIT)) & ~unit & (names != AS_WORDS)
@@ -318,6 +328,15 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     )
 
 
+def in_forms(text: str, sizes: list[int], known: Known | None) -> list[dict]:
+    """The windows of a text, in tokens of each size, in each form: of raw tokens that are told apart once."""
+    raw, read = raw_tokens(text), []
+    for names in (AS_NAMES, AS_WORDS, OPENERS_TOO):
+        tokens = typed(*raw, names)
+        read += [{"names": names} | w for size in sizes for w in _told(tokens, known, size)]
+    return read
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """doc_id, item_id, coverage: each item that a document holds."""
     items = cut(item_windows(benchmark))
@@ -336,20 +355,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
         known = Known(np.array(sorted(r["hash"] for r in hashes.collect()), np.int64), sorted(r["word"] for r in needed.collect()))
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
-    def of_text(text: str, held: Known | None) -> list[dict]:
-        read = []
-        for names in (AS_NAMES, AS_WORDS, OPENERS_TOO):
-            tokens = template(text, names)
-            read += [{"names": names} | w for size in sizes for w in _told(tokens, held, size)]
-        return read
-
     @F.arrow_udf(_READ)
     def matched(texts: pa.Array) -> pa.Array:
         held = sent.value
         if held is not None and not len(held.hashes):
             return pa.array([[] for _ in texts], _READ_ARROW)
         rows = (t.as_py() or "" for t in texts)
-        return pa.array([of_text(t, held) if held is None or held.may_hold(t) else [] for t in rows], _READ_ARROW)
+        return pa.array([in_forms(t, sizes, held) if held is None or held.may_hold(t) else [] for t in rows], _READ_ARROW)
 
     # read twice below; texts should not be
     found = cut(docs.select("doc_id", F.inline(matched("text"))).withColumnRenamed("slots", "filled"))

@@ -480,6 +480,16 @@ def test_other_names_and_numbers(spark):
     assert not {i for i, _ in got} & {i for i, _ in clean[2:]}
 
 
+def test_decontamination_tells_tokens_apart_once(monkeypatch):
+    text = "Tom Smith has 3.5 km and Anna Lee 20 % of $ 7. Then Bob ran twelve miles to New York."
+    forms = (decontamination.AS_NAMES, decontamination.AS_WORDS, decontamination.OPENERS_TOO)
+    want = [{"names": n} | w for n in forms for size in (3, 5) for w in decontamination._told(decontamination.template(text, n), None, size)]
+    read = []
+    monkeypatch.setattr(decontamination, "_LATIN_TOKENS", lambda t, found=decontamination._LATIN_TOKENS: read.append(t) or found(t))
+    assert decontamination.in_forms(text, [3, 5], None) == want
+    assert read == [text]
+
+
 def test_templates():
     told = decontamination.template("Tom Smith has 3.5 km and Anna Lee 20 % of $ 7. Then 12 Days").tokens()
     assert [t for t, _ in told] == "tom <name> has <num> <unit> and <name> <num> <unit> of <num> then <num> <unit>".split()
