@@ -16,12 +16,14 @@ TASK_LINKS = 20_000
 LEAST_TASKS = 8
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tasks: int | None = None) -> DataFrame:
     """node, root: for each node of links (a, b), the least node that it is linked to, at any remove.
 
-    Nodes are of any ordered type.  Links may repeat, in either direction, or be loops.
+    Nodes are of any ordered type.  Links may repeat, in either direction, or be loops.  `tasks` write the links, if it
+    is known how many do.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges = cut(edges.coalesce(tasks) if tasks else edges)
     # rounds over few links are many small stages: a task each for TASK_LINKS of them, as edges never grow in number
     tasks = max(LEAST_TASKS, edges.count() // TASK_LINKS + 1)
 
@@ -31,10 +33,10 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut_in(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks)
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = cut_in(large.where("u <> v").distinct())
-        low = cut_in(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         small = large.join(low, "u")
         after = cut_in(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -54,8 +54,10 @@ LEADERS = 4
 STILL = 0.02
 #: Similarity 0.8 = 4/5: M / (n + m - M) >= 4/5 is 9 M >= 4 (n + m).
 UP, DOWN = 4, 5
-#: Candidates whose texts may be told to a scan by broadcast; about 60 bytes each.
+#: Candidates, or pairs of them, that may be told to a scan by broadcast; about 60 bytes each.
 BROADCAST_TEXTS = 200_000
+#: Rows of a task that writes a table, where the session's partitions would hold fewer; tasks there are at least.
+TASK_ROWS, LEAST_TASKS = 20_000, 24
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -231,19 +233,23 @@ def near_groups(docs: DataFrame) -> DataFrame:
     texts = _keyed(docs)
     rows = cut(texts.select("doc_id", "text_key", _signed("norm").alias("x")).select("doc_id", "text_key", "x.*"))
     same = [F.first(c).alias(c) for c in ("n", "bits", "sketches")]  # alike in all rows of a text
+    tasks = _tasks(rows)
     alone = rows.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *same)
     # a node is a number from here on, fixed as it is written: least ones are then found without a sort
-    nodes = cut(alone.withColumn("key", F.monotonically_increasing_id()))
+    nodes = cut(alone.coalesce(tasks).withColumn("key", F.monotonically_increasing_id()))
     buckets = nodes.select("key", F.posexplode("sketches").alias("slot", "sketch"))
-    shared = cut(buckets.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*BUCKET))
-    members = cut(buckets.join(shared, BUCKET))
+    shared = buckets.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*BUCKET)
+    shared = cut(shared.coalesce(tasks))
+    members = cut(buckets.join(shared, BUCKET).coalesce(tasks))
     links = _links(docs, nodes, rows, members)
-    found = cut(components(links))
+    found = cut(components(links, tasks).coalesce(tasks))
     of_key = nodes.join(found.withColumnRenamed("node", "key"), "key", "left").select(
         "text_key", F.coalesce("root", "key").alias("root"), "rep", "copies"
     )
-    classes = cut(of_key.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size")))
-    told = cut(of_key.select("text_key", "root").join(classes, "root").select("text_key", "class_id", "class_size"))
+    of_key = cut(of_key.coalesce(tasks))  # read twice
+    classes = cut(of_key.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size")).coalesce(tasks))
+    told = of_key.select("text_key", "root").join(classes, "root").select("text_key", "class_id", "class_size")
+    told = cut(told.coalesce(tasks))
     return (
         rows.select("doc_id", "text_key")
         .join(told, "text_key")
@@ -251,36 +257,41 @@ def near_groups(docs: DataFrame) -> DataFrame:
     )
 
 
+def _tasks(df: DataFrame) -> int:
+    """How many tasks write a table as long as `df`, which is one of files: rounds over few rows are many small stages."""
+    return max(LEAST_TASKS, df.count() // TASK_ROWS + 1)
+
+
 def _links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
     """a, b: verified links that connect every class of the candidates' graph."""
     held = cut(_texts(docs, nodes, rows, members.select("key").distinct()))
     signed = nodes.select("key", "n", "bits", "sketches")
+    tasks = _tasks(members)
+    apart = cut(members.withColumn("root", F.col("key")).join(signed, "key").coalesce(tasks))
     links = tried = None
     turn = 0
     while True:
-        apart = cut(_apart(members, links).join(signed, "key"))
-        pairs = cut(_new(_with_leaders(apart, turn), tried))
-        good = cut(_verify(pairs, held))
+        pairs = cut(_new(_with_leaders(apart, turn, tasks), tried).coalesce(tasks))
+        good = cut(_verify(pairs, held).coalesce(tasks))
         links = good if links is None else links.unionByName(good)
         tried = pairs if tried is None else tried.unionByName(pairs)
         turn += 1
-        if turn > 1 and good.count() <= STILL * apart.count():  # the first holds each text against one leader only
+        still = good.count() <= STILL * apart.count()
+        apart = cut(_apart(members, links, tasks).join(signed, "key").coalesce(tasks))
+        if turn > 1 and still:  # the first holds each text against one leader only
             break
-    apart = cut(_apart(members, links).join(signed, "key"))
-    pairs = cut(_new(_with_others(apart), tried))
-    links = links.unionByName(cut(_verify(pairs, held)))
+    pairs = cut(_new(_with_others(apart, tasks), tried).coalesce(tasks))
+    links = links.unionByName(cut(_verify(pairs, held).coalesce(tasks)))
     drop(held)
     return links
 
 
-def _apart(members: DataFrame, links: DataFrame | None) -> DataFrame:
+def _apart(members: DataFrame, links: DataFrame, tasks: int) -> DataFrame:
     """key, slot, sketch, root: the members of the buckets that hold more than one class."""
-    if links is None:
-        return members.withColumn("root", F.col("key"))
-    found = cut(components(links)).withColumnRenamed("node", "key")
-    rooted = cut(members.join(found, "key", "left").withColumn("root", F.coalesce("root", "key")))
+    found = cut(components(links, tasks).coalesce(tasks)).withColumnRenamed("node", "key")
+    rooted = cut(members.join(found, "key", "left").withColumn("root", F.coalesce("root", "key")).coalesce(tasks))
     split = rooted.groupBy(*BUCKET).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*BUCKET)
-    return rooted.join(cut(split), BUCKET)
+    return rooted.join(cut(split.coalesce(tasks)), BUCKET)
 
 
 def _near() -> Column:
@@ -292,12 +303,13 @@ def _leading(apart: DataFrame) -> DataFrame:
     return apart.withColumnsRenamed(named)
 
 
-def _with_leaders(apart: DataFrame, turn: int) -> DataFrame:
+def _with_leaders(apart: DataFrame, turn: int, tasks: int) -> DataFrame:
     """a, b: texts and leaders of their buckets that may be similar; in the first turn one leader a text."""
     draws = [F.xxhash64("key", *BUCKET, F.lit(LEADERS * turn + i)) for i in range(LEADERS)]
     drawn = apart.groupBy(*BUCKET).agg(*[F.min(d).alias(f"draw_{i}") for i, d in enumerate(draws)])
     is_drawn = reduce(Column.__or__, [d == F.col(f"draw_{i}") for i, d in enumerate(draws)])
-    lead = cut(_leading(apart.join(cut(drawn), BUCKET).where(is_drawn).select(apart.columns)))
+    lead = _leading(apart.join(cut(drawn.coalesce(tasks)), BUCKET).where(is_drawn).select(apart.columns))
+    lead = cut(lead.coalesce(tasks))
     pairs = apart.join(lead, BUCKET).where((F.col("root") != F.col("other")) & _near())
     if not turn:  # the one with which the text shares most sketches
         pairs = pairs.groupBy("key", "lead").agg(F.count(F.lit(1)).alias("times"))
@@ -305,11 +317,11 @@ def _with_leaders(apart: DataFrame, turn: int) -> DataFrame:
     return pairs.select("key", "lead")
 
 
-def _with_others(apart: DataFrame) -> DataFrame:
+def _with_others(apart: DataFrame, tasks: int) -> DataFrame:
     """key, lead: all pairs of a bucket in different classes that may be similar, each once."""
     sizes = apart.groupBy(*BUCKET, "root").agg(F.count(F.lit(1)).alias("size"))
-    main = cut(sizes.groupBy(*BUCKET).agg(F.max_by("root", F.struct("size", "root")).alias("main")))
-    lead = cut(_leading(apart.join(main, BUCKET).where("root <> main")))
+    main = cut(sizes.groupBy(*BUCKET).agg(F.max_by("root", F.struct("size", "root")).alias("main")).coalesce(tasks))
+    lead = cut(_leading(apart.join(main, BUCKET).where("root <> main")).coalesce(tasks))
     # by one of its ends, in the first of its buckets
     once = (F.col("root") == F.col("main")) | (F.col("key") < F.col("lead"))
     alike = F.zip_with("sketches", "lead_sketches", lambda x, y: x == y)
@@ -324,12 +336,17 @@ def _new(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs a, b whose texts are similar."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = held.join(_bounded(cut(used)), "key", "left_semi")
-    first = texts.select(F.col("key").alias("a"), F.col("norm").alias("text_a"))
-    second = texts.select(F.col("key").alias("b"), F.col("norm").alias("text_b"))
-    both = pairs.join(first, "a").join(second, "b")
+    """The pairs a, b whose texts are similar.
+
+    Few pairs are told to the texts' scan, so that texts without one stay where they are and a leader's texts are dealt by pair.
+    """
+    few = pairs.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
+
+    def end(key: str) -> DataFrame:
+        own = held.select(F.col("key").alias(key), F.col("norm").alias(f"text_{key}"))
+        return own.join(F.broadcast(pairs), key) if few else own
+
+    both = end("a").join(end("b"), ["a", "b"]) if few else pairs.join(end("a"), "a").join(end("b"), "b")
     return both.where(_verified("text_a", "text_b")).select("a", "b")
 
 
@@ -349,7 +366,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, rows: DataFrame, wanted: DataFrame
     """key, norm of the wanted keys, from one document of each."""
     of = F.xxhash64("doc_id").alias("of")  # null ids too; of equal hashes a key may come twice, which does no harm
     reps = wanted.join(nodes.select("key", "text_key", "rep"), "key").withColumnRenamed("rep", "doc_id")
-    reps = cut(reps.select("key", "text_key", of))
+    reps = cut(reps.select("key", "text_key", of).coalesce(_tasks(rows)))
     few = docs.select("doc_id", "text", of).join(_bounded(reps.select("of").distinct()), "of", "left_semi")
     found = _keyed(few).withColumn("of", of).join(_bounded(reps), ["of", "text_key"]).select("key", "norm")
     repeated = rows.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

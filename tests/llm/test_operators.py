@@ -480,6 +480,31 @@ def test_other_names_and_numbers(spark):
     assert not {i for i, _ in got} & {i for i, _ in clean[2:]}
 
 
+def test_near_dedup_writes_small_tables_in_few_tasks(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [[f"w{rng.randrange(5_000)}" for _ in range(40)] for _ in range(150)]
+    texts = list(enumerate(" ".join(w) for row in words for w in (row, [*row[:-1], "other"])))
+    wrote = []
+
+    def noted(df, cut=near_dedup.cut):
+        found = cut(df)
+        wrote.append(len(found.inputFiles()))
+        return found
+
+    monkeypatch.setattr(near_dedup, "cut", noted)
+    conf = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = near_dedup.near_groups(docs_of(spark, texts)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 300 and {r["class_id"] for r in got} == set(range(0, 300, 2))
+    assert max(wrote) <= 24
+
+
 def test_decontamination_tells_tokens_apart_once(monkeypatch):
     text = "Tom Smith has 3.5 km and Anna Lee 20 % of $ 7. Then Bob ran twelve miles to New York."
     forms = (decontamination.AS_NAMES, decontamination.AS_WORDS, decontamination.OPENERS_TOO)
