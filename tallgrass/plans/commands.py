@@ -31,7 +31,7 @@ Embedder = Callable[[DataFrame], DataFrame]
 
 def tfidf_embedder(most: int = 5_000, size: int = 128) -> Embedder:
     """id, v from id, text without a model: TF-IDF on its strongest directions."""
-    return lambda rows: terms.project(terms.tfidf(rows, most), size)
+    return lambda rows: terms.project_texts(rows, most, size)
 
 
 def analyze(tools: DataFrame, tasks: DataFrame, embed: Embedder | None = None, k: int = 5, clusters: int = 0, isolated_at: float = curation.ISOLATED) -> dict[str, DataFrame]:
