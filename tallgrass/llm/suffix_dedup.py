@@ -39,7 +39,8 @@ from .common import cut, drop, text_or_empty
 LENGTH = 200
 ANCHOR = 24
 SEGMENT = 1 << 23
-BATCH_BYTES = 3 << 20
+#: An index takes some 105 bytes for each of its strings', and each core has one.
+BATCH_BYTES = 1 << 20
 TASK_BYTES = 12 << 20
 HOT = 10_000
 #: Documents that may be told to a scan by broadcast; 16 bytes each.

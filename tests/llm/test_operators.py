@@ -4,9 +4,11 @@ import hashlib
 import html
 import random
 import re
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -365,6 +367,20 @@ def test_suffix_dedup(spark, monkeypatch, hot):
     assert suffix_dedup.repeats(docs_of(spark, []), 40).collect() == []
 
 
+def test_suffix_index_memory():
+    """What a core holds for its index doesn't grow with what it is given."""
+    rnd = random.Random(5)
+    rows = [(k // 8, 1, k, k, 0, rnd.randbytes(280).replace(b"\0", b"a")) for k in range(16_000)]  # 4.5 MB
+    columns = [pa.array(c) for c in zip(*rows)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["anchor", "n", "doc_id", "text_key", "start", "bytes"])
+    tracemalloc.start()
+    for _ in suffix_dedup._indexed(200)(batch.slice(at, 1000) for at in range(0, len(rows), 1000)):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+
+
 @pytest.mark.parametrize("hot", [10_000, 0])
 def test_suffix_dedup_with_null_ids(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
