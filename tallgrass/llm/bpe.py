@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
@@ -35,6 +36,8 @@ LATIN_SPACES = "\t-\r \x85\xa0"
 LATIN_END = "ɏ"
 #: Pieces whose ids are kept in a worker at once.
 MEMO_PIECES = 120_000
+#: The same for pieces of which the number of ids is kept only.
+MEMO_COUNTS = 240_000
 MEMO_PAIRS = 1_000_000
 
 
@@ -77,7 +80,8 @@ class Bpe:
             for token, rank in ranks.items()
         }
         self.pairs: dict[int, bool] = {}
-        self.pieces = _Pieces(self)
+        self.pieces = _Pieces(lambda piece: tuple(self.encode_piece(piece)), MEMO_PIECES)
+        self.counts = _Pieces(lambda piece: len(self.encode_piece(piece)), MEMO_COUNTS)
 
     def _halves(self, token: bytes) -> tuple[int, int] | None:
         """Merge by rank, with the token itself forbidden: the last two parts made it."""
@@ -161,30 +165,37 @@ class Bpe:
                     continue
             token = shorter[token]
 
+    def split(self, text: str) -> list[str]:
+        return (self.split_any if self.beyond_latin(text) else self.split_latin)(text)
+
     def encode(self, text: str) -> list[int]:
-        pieces = (self.split_any if self.beyond_latin(text) else self.split_latin)(text)
         self.pieces.make_room()
-        return list(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
+
+    def count(self, text: str) -> int:
+        """How many ids `encode` gives."""
+        self.counts.make_room()
+        return sum(map(self.counts.__getitem__, self.split(text)))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
 class _Pieces(dict):
-    """Ids by piece, computed at first sight; the pieces of the last while are kept."""
+    """What `made` gives for a piece, computed at first sight; the `room` pieces of the last while are kept."""
 
-    def __init__(self, owner: Bpe):
-        self.owner = owner
-        self.older: dict[str, tuple[int, ...]] = {}
+    def __init__(self, made: Callable, room: int):
+        self.made, self.room = made, room
+        self.older: dict = {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.older.get(piece) or tuple(self.owner.encode_piece(piece))
+    def __missing__(self, piece: str):
+        found = self.older.get(piece) or self.made(piece)
         if len(piece) <= 64:
-            self[piece] = ids
-        return ids
+            self[piece] = found
+        return found
 
     def make_room(self) -> None:
-        if len(self) >= MEMO_PIECES:
+        if len(self) >= self.room:
             self.older = dict(self)
             self.clear()
 
@@ -217,11 +228,29 @@ def count(text: Column, vocabulary: str, pattern: str) -> Column:
     @F.arrow_udf("long")
     def lengths(texts: pa.Array) -> pa.Array:
         bpe = _loaded(vocabulary, pattern)
-        return pa.array([len(bpe.encode(text.as_py() or "")) for text in texts], pa.int64())
+        return pa.array([bpe.count(text.as_py() or "") for text in texts], pa.int64())
 
     return lengths(text)
 
 
+def count_variants(text: Column, variant: Column, vocabulary: str, pattern: str) -> Column:
+    """struct<own: long, variant: long>: the counts of both texts, the second null if they are equal (null is empty).
+
+    A variant has most of its text's pieces.  It is counted right after it, while their counts are kept.
+    """
+    kind = pa.struct([("own", pa.int64()), ("variant", pa.int64())])
+
+    @F.arrow_udf("struct<own:long,variant:long>")
+    def lengths(texts: pa.Array, variants: pa.Array) -> pa.Array:
+        bpe, found = _loaded(vocabulary, pattern), []
+        for text, other in zip(texts, variants):
+            text, other = text.as_py() or "", other.as_py() or ""
+            found.append({"own": bpe.count(text), "variant": bpe.count(other) if other != text else None})
+        return pa.array(found, kind)
+
+    return lengths(text, variant)
+
+
 def decode(ids: Column, vocabulary: str, pattern: str) -> Column:
     """binary: the bytes of the ids, null for null."""
 

@@ -96,20 +96,18 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     small_batches(spark)
     text, vocabulary = F.coalesce("text", F.lit("")), public_tokenizers.path(VOCABULARY)
-    collapsed = F.regexp_replace(text, r"\s+", " ")
-    counts = cut(
-        table(spark, sf_dir, "documents").select(
-            "doc_id",
-            "source",
-            "lang",
-            bpe.count(F.col("text"), vocabulary, public_tokenizers.PATTERN).alias("bpe"),
-            F.when(
-                collapsed != text, bpe.count(collapsed, vocabulary, public_tokenizers.PATTERN)
-            ).alias("bpe_revised"),
-            F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("words"),
-            (~text.rlike(r"\p{L}")).alias("gone"),
-        )
+    # single blanks, which are most runs of white space, are no matches
+    collapsed = F.regexp_replace(text, r"\s{2,}|[\t-\r]", " ")
+    read = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        "source",
+        "lang",
+        bpe.count_variants(F.col("text"), collapsed, vocabulary, public_tokenizers.PATTERN).alias("counted"),
+        F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("words"),
+        (~text.rlike(r"\p{L}")).alias("gone"),
     )
+    bpe_counts = [F.col("counted.own").alias("bpe"), F.col("counted.variant").alias("bpe_revised")]
+    counts = cut(read.select("doc_id", "source", "lang", *bpe_counts, "words", "gone"))
 
     def rows(bpe_tokens, where=None):
         found = counts.where(where) if where is not None else counts

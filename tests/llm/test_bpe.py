@@ -5,6 +5,7 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from tallgrass.llm import bpe
 from tallgrass.llm.queries import VOCABULARY
@@ -50,3 +51,25 @@ def test_query_columns(spark, library):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.digests(bpe.round_trip(docs, PATH, PATTERN)).collect() == []
+
+
+def test_a_variant_is_counted_with_what_its_text_gave(monkeypatch):
+    texts = [" ".join(f"piece{i}x{k}" for k in range(40)) for i in range(30)]
+    variants = [t.replace(" ", "  ", 5) for t in texts]
+    one = bpe.Bpe(bpe.read_ranks(PATH), PATTERN)
+    one.counts.room = 60  # less than all texts have, more than one has
+    made, own = [], one.encode_piece
+    monkeypatch.setattr(one, "encode_piece", lambda piece: made.append(piece) or own(piece))
+    found = [(one.count(a), one.count(b)) for a, b in zip(texts, variants)]
+    assert len(made) < 1.2 * len(set(made))  # all texts first and then all variants: twice as many
+    assert found == [(len(one.encode(a)), len(one.encode(b))) for a, b in zip(texts, variants)]
+
+
+def test_counts_of_variants(spark, library):
+    rows = [(1, "a  b", "a b"), (2, None, ""), (3, "same", "same"), (4, "x\n\ny" * 50, "x y" * 50), (5, "", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, other string")
+    got = {r[0]: r[1] for r in frame.select("doc_id", bpe.count_variants(F.col("text"), F.col("other"), PATH, PATTERN)).collect()}
+    n = lambda t: len(library.encode_ordinary(t or ""))
+    assert {i: (r.own, r.variant) for i, r in got.items()} == {
+        i: (n(a), None if (a or "") == (b or "") else n(b)) for i, a, b in rows
+    }
