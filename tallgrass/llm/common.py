@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -53,6 +53,23 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_and_tell(df: DataFrame, *told: Column) -> tuple[DataFrame, tuple]:
+    """What `cut` gives, and aggregates over its rows, which are observed as they are written: no further job reads them."""
+    names = [f"told_{i}" for i in range(len(told))]
+    seen = Observation()
+    out = cut(df.observe(seen, *[t.alias(n) for t, n in zip(told, names)]))
+    found = seen.get
+    if any(n not in found for n in names):  # a plan that was found to give no row may observe nothing
+        return out, tuple(out.agg(*told).first())
+    return out, tuple(found[n] for n in names)
+
+
+def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
+    """What `cut` gives, and its number of rows."""
+    out, (n,) = cut_and_tell(df, F.count(F.lit(1)))
+    return out, n
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table that `cut` wrote; nothing may read it later."""
     spark = df.sparkSession

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop
+from .common import cut, cut_and_count, cut_and_tell, drop
 
 #: Links that a task takes at most where there are fewer than would fill the session's partitions.
 TASK_LINKS = 20_000
@@ -23,9 +23,9 @@ def components(links: DataFrame, tasks: int | None = None) -> DataFrame:
     is known how many do.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = cut(edges.coalesce(tasks) if tasks else edges)
+    edges, n_edges = cut_and_count(edges.coalesce(tasks) if tasks else edges)
     # rounds over few links are many small stages: a task each for TASK_LINKS of them, as edges never grow in number
-    tasks = max(LEAST_TASKS, edges.count() // TASK_LINKS + 1)
+    tasks = max(LEAST_TASKS, n_edges // TASK_LINKS + 1)
 
     def cut_in(df: DataFrame) -> DataFrame:
         return cut(df.coalesce(tasks))
@@ -38,13 +38,15 @@ def components(links: DataFrame, tasks: int | None = None) -> DataFrame:
         large = cut_in(large.where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         small = large.join(low, "u")
-        after = cut_in(
+        after, state = cut_and_tell(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v")))
             .where("u <> v")
             .distinct()
+            .coalesce(tasks),
+            F.count(F.lit(1)),
+            F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")),
         )
-        state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop(edges)
         edges = after
         if state == before:

@@ -150,19 +150,25 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     sparse = F.arrow_udf("struct<at:array<int>,n:array<int>>")(sparse)
     # rows that repeat are chosen together, and are one here: so the hash bounds their number
     sample = cut(labelled.where(chosen).select("doc_id", "lang", "text").distinct())
-    rows = sorted(sample.select("doc_id", "lang", sparse("text").alias("x")).collect(), key=lambda r: (r["lang"], r["doc_id"] or 0, r["x"]["at"]))
-    rows = [r for r in rows if len(r["x"]["at"])]
+    # as arrays, as Python's lists of so many numbers would stay with the driver
+    found = sample.select("doc_id", "lang", sparse("text").alias("x")).select("doc_id", "lang", "x.at", "x.n").toArrow().combine_chunks()
+    rows = [
+        (lang, doc_id or 0, at.values.to_numpy(), n.values.to_numpy())
+        for lang, doc_id, at, n in zip(found["lang"].to_pylist(), found["doc_id"].to_pylist(), found["at"], found["n"])
+        if len(at.values)
+    ]
+    rows.sort(key=lambda r: (*r[:2], r[2].astype(">i4").tobytes()))
     seen = np.zeros(DIMENSIONS)
-    for r in rows:
-        seen[r["x"]["at"]] += 1
+    for _, _, at, _ in rows:
+        seen[at] += 1
     idf = (np.log((len(rows) + 1) / (seen + 1)) + 1).astype(np.float32)
     languages, centroids = [], []
-    for lang in sorted({r["lang"] for r in rows}):
+    for lang in sorted({r[0] for r in rows}):
         vectors = np.zeros((0, DIMENSIONS), np.float32)
-        own = [r["x"] for r in rows if r["lang"] == lang]
+        own = [r[2:] for r in rows if r[0] == lang]
         vectors = np.zeros((len(own), DIMENSIONS), np.float32)
-        for v, x in zip(vectors, own):
-            v[x["at"]] = (1 + np.log(np.array(x["n"]))) * idf[x["at"]]
+        for v, (at, n) in zip(vectors, own):
+            v[at] = (1 + np.log(n)) * idf[at]
             v /= np.linalg.norm(v)
         found = _clusters(vectors)
         languages += [lang] * len(found)
@@ -187,8 +193,8 @@ def _reach(sample: DataFrame, languages: list[str], centroids: np.ndarray, idf:
             out.append(near)
         return pa.array(out, pa.list_(pa.struct([("k", pa.int32()), ("band", pa.int32()), ("cosine", pa.float64())])))
 
-    found = sample.select(F.inline(measured("lang", "text"))).collect()  # at most BANDS for each row of the sample
-    k, band, cosine = (np.array([r[c] for r in found]) for c in ("k", "band", "cosine"))
+    found = sample.select(F.inline(measured("lang", "text"))).toArrow()  # at most BANDS for each row of the sample
+    k, band, cosine = (found[c].to_numpy() for c in ("k", "band", "cosine"))
     least = np.zeros((len(languages), BANDS))
     for i, lang in enumerate(languages):
         low = 0.0

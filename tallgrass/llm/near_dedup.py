@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, drop
+from .common import cut, cut_and_count, drop
 from .components import components
 
 WORDS = 5
@@ -231,17 +231,17 @@ BUCKET = ["slot", "sketch"]
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, class_size, kept: one row for each row of `docs`."""
     texts = _keyed(docs)
-    rows = cut(texts.select("doc_id", "text_key", _signed("norm").alias("x")).select("doc_id", "text_key", "x.*"))
+    rows, n_rows = cut_and_count(texts.select("doc_id", "text_key", _signed("norm").alias("x")).select("doc_id", "text_key", "x.*"))
     same = [F.first(c).alias(c) for c in ("n", "bits", "sketches")]  # alike in all rows of a text
-    tasks = _tasks(rows)
+    tasks = _tasks(n_rows)
     alone = rows.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *same)
     # a node is a number from here on, fixed as it is written: least ones are then found without a sort
     nodes = cut(alone.coalesce(tasks).withColumn("key", F.monotonically_increasing_id()))
     buckets = nodes.select("key", F.posexplode("sketches").alias("slot", "sketch"))
     shared = buckets.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*BUCKET)
     shared = cut(shared.coalesce(tasks))
-    members = cut(buckets.join(shared, BUCKET).coalesce(tasks))
-    links = _links(docs, nodes, rows, members)
+    members, n_members = cut_and_count(buckets.join(shared, BUCKET).coalesce(tasks))
+    links = _links(docs, nodes, rows, members, tasks, _tasks(n_members))
     found = cut(components(links, tasks).coalesce(tasks))
     of_key = nodes.join(found.withColumnRenamed("node", "key"), "key", "left").select(
         "text_key", F.coalesce("root", "key").alias("root"), "rep", "copies"
@@ -257,31 +257,30 @@ def near_groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def _tasks(df: DataFrame) -> int:
-    """How many tasks write a table as long as `df`, which is one of files: rounds over few rows are many small stages."""
-    return max(LEAST_TASKS, df.count() // TASK_ROWS + 1)
+def _tasks(n: int) -> int:
+    """How many tasks write a table of about `n` rows: rounds over few rows are many small stages."""
+    return max(LEAST_TASKS, n // TASK_ROWS + 1)
 
 
-def _links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
-    """a, b: verified links that connect every class of the candidates' graph."""
-    held = cut(_texts(docs, nodes, rows, members.select("key").distinct()))
+def _links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, members: DataFrame, row_tasks: int, tasks: int) -> DataFrame:
+    """a, b: verified links that connect every class of the candidates' graph; so many tasks for rows, and for members."""
+    held = cut(_texts(docs, nodes, rows, members.select("key").distinct(), row_tasks))
     signed = nodes.select("key", "n", "bits", "sketches")
-    tasks = _tasks(members)
-    apart = cut(members.withColumn("root", F.col("key")).join(signed, "key").coalesce(tasks))
+    apart, n_apart = cut_and_count(members.withColumn("root", F.col("key")).join(signed, "key").coalesce(tasks))
     links = tried = None
     turn = 0
     while True:
-        pairs = cut(_new(_with_leaders(apart, turn, tasks), tried).coalesce(tasks))
-        good = cut(_verify(pairs, held).coalesce(tasks))
+        pairs, n_pairs = cut_and_count(_new(_with_leaders(apart, turn, tasks), tried).coalesce(tasks))
+        good, n_good = cut_and_count(_verify(pairs, n_pairs, held).coalesce(tasks))
         links = good if links is None else links.unionByName(good)
         tried = pairs if tried is None else tried.unionByName(pairs)
         turn += 1
-        still = good.count() <= STILL * apart.count()
-        apart = cut(_apart(members, links, tasks).join(signed, "key").coalesce(tasks))
+        still = n_good <= STILL * n_apart
+        apart, n_apart = cut_and_count(_apart(members, links, tasks).join(signed, "key").coalesce(tasks))
         if turn > 1 and still:  # the first holds each text against one leader only
             break
-    pairs = cut(_new(_with_others(apart, tasks), tried).coalesce(tasks))
-    links = links.unionByName(cut(_verify(pairs, held).coalesce(tasks)))
+    pairs, n_pairs = cut_and_count(_new(_with_others(apart, tasks), tried).coalesce(tasks))
+    links = links.unionByName(cut(_verify(pairs, n_pairs, held).coalesce(tasks)))
     drop(held)
     return links
 
@@ -335,12 +334,12 @@ def _new(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
     return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
 
 
-def _verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs a, b whose texts are similar.
+def _verify(pairs: DataFrame, n_pairs: int, held: DataFrame) -> DataFrame:
+    """The pairs a, b, of which there are n_pairs, whose texts are similar.
 
     Few pairs are told to the texts' scan, so that texts without one stay where they are and a leader's texts are dealt by pair.
     """
-    few = pairs.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
+    few = n_pairs <= BROADCAST_TEXTS
 
     def end(key: str) -> DataFrame:
         own = held.select(F.col("key").alias(key), F.col("norm").alias(f"text_{key}"))
@@ -362,11 +361,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return norm.select("doc_id", F.substring(F.unhex(F.sha2(told, 256)), 1, 16).alias("text_key"), "norm")
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, nodes: DataFrame, rows: DataFrame, wanted: DataFrame, tasks: int) -> DataFrame:
     """key, norm of the wanted keys, from one document of each."""
     of = F.xxhash64("doc_id").alias("of")  # null ids too; of equal hashes a key may come twice, which does no harm
     reps = wanted.join(nodes.select("key", "text_key", "rep"), "key").withColumnRenamed("rep", "doc_id")
-    reps = cut(reps.select("key", "text_key", of).coalesce(_tasks(rows)))
+    reps = cut(reps.select("key", "text_key", of).coalesce(tasks))
     few = docs.select("doc_id", "text", of).join(_bounded(reps.select("of").distinct()), "of", "left_semi")
     found = _keyed(few).withColumn("of", of).join(_bounded(reps), ["of", "text_key"]).select("key", "norm")
     repeated = rows.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -11,6 +11,7 @@ from itertools import combinations
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tallgrass.llm import (
     components,
@@ -24,7 +25,7 @@ from tallgrass.llm import (
     token_rollup,
     url_filter,
 )
-from tallgrass.llm.common import not_kept, without
+from tallgrass.llm.common import cut_and_tell, not_kept, without
 from tallgrass.llm.queries import URL_RULES
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, key string"
@@ -496,6 +497,32 @@ def test_other_names_and_numbers(spark):
     assert not {i for i, _ in got} & {i for i, _ in clean[2:]}
 
 
+def test_rounds_are_counted_as_they_are_written(spark, monkeypatch):
+    """The driver keeps what it knows of each job, so rounds of links have no jobs beside those that write them."""
+    read = []
+    own = DataFrame.count
+    monkeypatch.setattr(DataFrame, "count", lambda df: read.append(df) or own(df))
+    monkeypatch.setattr(DataFrame, "first", lambda df: pytest.fail("a job that reads a table back"))
+    links = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(90, 91), (91, 90), (50, 50)], "a long, b long")
+    root = {r["node"]: r["root"] for r in components.components(links).collect()}
+    assert root == {k: 0 for k in range(31)} | {90: 90, 91: 90}
+    rnd = random.Random(8)
+    text = words(rnd, 60)
+    texts = [(i, " ".join(text[:-1] + [f"x{i}"])) for i in range(12)] + [(20, "one two three")]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_groups(docs_of(spark, texts)).collect()}
+    assert got == {i: 0 for i in range(12)} | {20: 20}
+    assert len(read) <= 2  # both of the texts that are looked for before the rounds
+
+
+def test_tables_are_counted_as_they_are_written(spark):
+    frame = spark.range(100).where("id % 3 = 0")
+    out, told = cut_and_tell(frame, F.count(F.lit(1)), F.sum("id"))
+    assert told == (34, 1683) and out.count() == 34
+    for none in (frame.where("id < 0"), spark.createDataFrame([], "id long"), frame.where("false")):
+        out, told = cut_and_tell(none, F.count(F.lit(1)), F.sum("id"))
+        assert told == (0, None) and out.count() == 0
+
+
 def test_near_dedup_writes_small_tables_in_few_tasks(spark, monkeypatch):
     rng = random.Random(5)
     words = [[f"w{rng.randrange(5_000)}" for _ in range(40)] for _ in range(150)]
